@@ -49,7 +49,68 @@ def byte_alphabet() -> dict[str, int]:
     return out
 
 
-class SpeculativeBPE:
+class Merges:
+    """Exact BPE merging of many words at once. first, last: ids of each byte, and of each byte that ends a word."""
+
+    def __init__(self, vocab: dict[str, int], merges: list, first: np.ndarray, last: np.ndarray):
+        self._first_ids, self._last_ids = first, last
+        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        self._merged_by_rank = np.zeros(max(1, len(merges)), np.int64)
+        for r, m in enumerate(merges):
+            a, b = m if isinstance(m, list) else m.split(" ")
+            self.merge[vocab[a], vocab[b]] = (r, vocab[a + b])
+            self._merged_by_rank[r] = vocab[a + b]
+        keys = np.array([(i << 32) | j for i, j in self.merge], np.int64)
+        order = np.argsort(keys)
+        self._keys, self._ranks = keys[order], np.array([r for r, _ in self.merge.values()], np.int64)[order]
+
+    def _pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = (a << 32) | b
+        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+        return np.where(self._keys[at] == key, self._ranks[at], np.iinfo(np.int64).max)
+
+    def exact_many(self, words: list[bytes]) -> list[bytes]:
+        """Exact merging of many short words at once: each round applies every word's next merge."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(size)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        ids = self._first_ids[raw]
+        ids[ends - 1] = self._last_ids[raw[ends - 1]]
+        n = len(ids)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1], before[ends - size] = n, -1
+        ids, none = np.append(ids, 0), np.int64(1) << 62
+        spot = np.arange(n)
+        key = np.full(n, none)
+        first = spot[after < n]
+        rank = self._pair_rank(ids[first], ids[after[first]])
+        key[first] = np.where(rank < none >> 32, (rank << 32) | first, none)
+        dead = np.zeros(n, bool)
+        while True:
+            lowest = np.minimum.reduceat(key, ends - size)
+            lowest = lowest[lowest < none]
+            if not len(lowest):
+                break
+            k = lowest & 0xFFFFFFFF
+            j = after[k]
+            ids[k] = self._merged_by_rank[lowest >> 32]
+            dead[j], key[j] = True, none
+            after[k] = after[j]
+            live = k[after[k] < n]
+            before[after[live]] = live
+            key[k] = none
+            touched = np.concatenate([live, before[k][before[k] >= 0]])
+            rank = self._pair_rank(ids[touched], ids[after[touched]])
+            key[touched] = np.where(rank < none >> 32, (rank << 32) | touched, none)
+        left = np.cumsum(~dead)[ends - 1] * 4
+        data, start, out = ids[:n][~dead].astype("<u4").tobytes(), 0, []
+        for end in left.tolist():
+            out.append(data[start:end])
+            start = end
+        return out
+
+
+class SpeculativeBPE(Merges):
     """Encoder and decoder for a byte-level BPE file in the tokenizers JSON format (given as its text)."""
 
     def __init__(self, source: str):
@@ -64,22 +125,13 @@ class SpeculativeBPE:
         for s, i in self.added.items():
             self.bytes_of[i] = s.encode()
         self.id_of = {self.bytes_of[i]: i for s, i in vocab.items() if s not in self.added}
+        single = np.array([self.id_of[bytes([b])] for b in range(256)])
+        super().__init__(vocab, spec["model"]["merges"], single, single)
         self.left, self.right = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
         self.rank = np.full(size, -1, np.int64)
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
-        for r, m in enumerate(spec["model"]["merges"]):
-            a, b = m if isinstance(m, list) else m.split(" ")
-            i, j, k = vocab[a], vocab[b], vocab[a + b]
-            self.merge[i, j] = (r, k)
+        for (i, j), (r, k) in self.merge.items():
             if self.rank[k] < 0:
                 self.left[k], self.right[k], self.rank[k] = i, j, r
-        keys = np.array([(i << 32) | j for i, j in self.merge], np.int64)
-        order = np.argsort(keys)
-        self._keys, self._ranks = keys[order], np.array([r for r, _ in self.merge.values()], np.int64)[order]
-        self._byte_ids = np.array([self.id_of[bytes([b])] for b in range(256)])
-        self._merged_by_rank = np.zeros(len(spec["model"]["merges"]), np.int64)
-        for r, k in self.merge.values():
-            self._merged_by_rank[r] = k
         # tokens that their own bytes do not encode to can't be proposed
         merged = np.flatnonzero(self.rank >= 0)
         sound = self._border_holds(self.left[merged], self.right[merged], self.rank[merged])
@@ -97,11 +149,6 @@ class SpeculativeBPE:
         self.cache: dict[str, bytes] = {}
         self.speculated = self.failed = 0
 
-    def _pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = (a << 32) | b
-        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-        return np.where(self._keys[at] == key, self._ranks[at], np.iinfo(np.int64).max)
-
     def _border_holds(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
         """For each pair of tokens: no merge ranked before ``limit`` ever joins across their border."""
         a, b = a.astype(np.int64).copy(), b.astype(np.int64).copy()
@@ -153,44 +200,6 @@ class SpeculativeBPE:
                     heapq.heappush(heap, (self.merge[p][0], i, p))
         return [i for i in ids if i >= 0]
 
-    def _exact_many(self, words: list[bytes]) -> list[bytes]:
-        """Exact merging of many short words at once: each round applies every word's next merge."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(size)
-        ids = self._byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-        n = len(ids)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
-        after[ends - 1], before[ends - size] = n, -1
-        ids, none = np.append(ids, 0), np.int64(1) << 62
-        spot = np.arange(n)
-        key = np.full(n, none)
-        first = spot[after < n]
-        rank = self._pair_rank(ids[first], ids[after[first]])
-        key[first] = np.where(rank < none >> 32, (rank << 32) | first, none)
-        dead = np.zeros(n, bool)
-        while True:
-            lowest = np.minimum.reduceat(key, ends - size)
-            lowest = lowest[lowest < none]
-            if not len(lowest):
-                break
-            k = lowest & 0xFFFFFFFF
-            j = after[k]
-            ids[k] = self._merged_by_rank[lowest >> 32]
-            dead[j], key[j] = True, none
-            after[k] = after[j]
-            live = k[after[k] < n]
-            before[after[live]] = live
-            key[k] = none
-            touched = np.concatenate([live, before[k][before[k] >= 0]])
-            rank = self._pair_rank(ids[touched], ids[after[touched]])
-            key[touched] = np.where(rank < none >> 32, (rank << 32) | touched, none)
-        left = np.cumsum(~dead)[ends - 1] * 4
-        data, start, out = ids[:n][~dead].astype("<u4").tobytes(), 0, []
-        for end in left.tolist():
-            out.append(data[start:end])
-            start = end
-        return out
-
     def learn(self, words: list[str]) -> None:
         """Adds the ids of ``words`` (as little-endian unsigned 32-bit) to the memory."""
         raw = [w.encode() for w in words]
@@ -210,7 +219,7 @@ class SpeculativeBPE:
             self.cache[w] = data[start:end]
             start = end
         short = [i for i in np.flatnonzero(bad).tolist() if len(raw[i]) <= SHORT]
-        for i, ids in zip(short, self._exact_many([raw[i] for i in short]) if short else [], strict=True):
+        for i, ids in zip(short, self.exact_many([raw[i] for i in short]) if short else [], strict=True):
             self.cache[words[i]] = ids
         for i in np.flatnonzero(bad).tolist():
             if len(raw[i]) > SHORT:
@@ -240,7 +249,10 @@ class SpeculativeBPE:
             self.cache.clear()
         for s, i in self.added.items():
             self.cache[s] = np.array([i], "<u4").tobytes()
-        if fresh := list({w for words in split for w in words if w not in self.cache}):
+        met: set[str] = set()
+        for words in split:
+            met.update(words)
+        if fresh := list(met.difference(self.cache)):
             self.learn(fresh)
         get = self.cache.__getitem__
         return [b"".join(map(get, words)) for words in split]
