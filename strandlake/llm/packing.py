@@ -19,6 +19,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -236,7 +237,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     # rows that are alike would meet in one shard: a running number within the task parts them
     dealt = dealt.withColumn("shard", F.pmod(F.col("shard") + F.monotonically_increasing_id(), F.lit(shards)))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         sizes = pdf["length"].tolist()
         bin_of, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
