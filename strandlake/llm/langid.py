@@ -223,23 +223,41 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
     return train(texts, names)
 
 
+def predict(model: Model | None, texts: pd.Series, lettered: pd.Series) -> pd.DataFrame:
+    """``lang_pred, score`` of each text."""
+    pred, score = ["und"] * len(texts), np.zeros(len(texts))
+    if model is not None and len(texts):
+        ok = lettered.to_numpy(bool)
+        p = pooled(model, [(t or "").encode() if good else b"" for t, good in zip(texts, ok, strict=True)])
+        best = p.argmax(1)
+        pred = [model.labels[b] if good else "und" for b, good in zip(best, ok, strict=True)]
+        score = np.where(ok, np.clip(p[np.arange(len(best)), best], 0, 1), 0.0)
+    return pd.DataFrame({"lang_pred": pred, "score": score})
+
+
+def _lettered() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` of every row."""
+    """``doc_id, held_out, lang_pred, score`` of every row; one narrow pass."""
     arrow_rows(docs.sparkSession, 1000)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = [(t or "") if lettered else "" for t, lettered in zip(pdf["text"], pdf["lettered"], strict=True)]
-            pred, score = ["und"] * len(texts), np.zeros(len(texts))
-            if model is not None:
-                p = pooled(model, [t.encode() for t in texts])
-                best = p.argmax(1)
-                lettered = pdf["lettered"].to_numpy(bool)
-                pred = [model.labels[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)]
-                score = np.where(lettered, np.clip(p[np.arange(len(best)), best], 0, 1), 0.0)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held"], "lang_pred": pred, "score": score})
-
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held"), lettered.alias("lettered"), F.col("text")).mapInPandas(
-        run, "doc_id long, held_out boolean, lang_pred string, score double"
-    )
+            yield pd.concat([pdf[["doc_id", "held_out"]], predict(model, pdf["text"], pdf["lettered"])], axis=1)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), _lettered().alias("lettered"), F.col("text"))
+    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The rows of ``docs`` with a language of a score of ``least`` or more; all columns as they are."""
+    arrow_rows(docs.sparkSession, 1000)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def label(texts: pd.Series, lettered: pd.Series) -> pd.DataFrame:
+        return predict(model, texts, lettered)
+
+    found = label(F.col("text"), _lettered())
+    return docs.where((found["lang_pred"] != "und") & (found["score"] >= least))

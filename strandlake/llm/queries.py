@@ -21,6 +21,12 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    return dedup_lines(documents(spark, sf_dir))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_documents
 
@@ -41,6 +47,13 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex64(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
