@@ -209,18 +209,20 @@ def _slice(text: Column, h: Column) -> Column:
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
     """Fits a model on at most ``rows`` labelled rows that are not held out, the same share of rows for each label's hash order."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    labels = [r[0] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()]
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()}
+    labels = list(counts)
     if not labels:
         return None
     each = max(1, rows // len(labels))
     texts, names = [], []
     for lang in labels:
-        # one pass with a bounded heap per task, by a hash of the row
-        sample = usable.where(F.col("lang") == lang).select(_slice(F.col("text"), F.xxhash64("doc_id")).alias("t"), F.xxhash64("doc_id").alias("h")).orderBy("h", "t").limit(each)
+        # rows of the smallest hashes: a bound that about three times as many pass keeps tasks from sending more
+        most = min(2**63 - 1, int(-(2**63) + 2**64 * 3 * each / counts[lang]))
+        sample = usable.where((F.col("lang") == lang) & (F.xxhash64("doc_id") <= most)).select(_slice(F.col("text"), F.xxhash64("doc_id")).alias("t"), F.xxhash64("doc_id").alias("h")).orderBy("h", "t").limit(each)
         for r in sample.collect():
             texts.append(r["t"].encode())
             names.append(lang)
-    return train(texts, names)
+    return train(texts, names) if texts else None
 
 
 def predict(model: Model | None, texts: pd.Series, lettered: pd.Series) -> pd.DataFrame:
