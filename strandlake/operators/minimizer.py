@@ -20,6 +20,10 @@ from .sequence import LARGE_BUCKET, fragments, kmers
 BROADCAST_MOTIFS = 2_000_000
 
 
+#: Length of motifs up to which a frequency table numbers its ranks from 0 without gaps.
+RANKED_M = 10
+
+
 @dataclass(frozen=True)
 class Ordering:
     """kind: lexicographic, signature, random (by ``mask``) or table (``motif``, ``rank``)."""
@@ -80,15 +84,17 @@ def frequency_table(reads: DataFrame, motifs: DataFrame, m: int, fraction: float
         raise ValueError("the fraction must be above 0 and at most 1")
     sampled = reads if fraction == 1 else reads.sample(fraction, seed)
     counted = motifs.join(motif_counts(sampled, m, None, seq), "motif", "left").select("motif", F.col("rank").alias("prior"), F.coalesce("count", F.lit(0)).cast("long").alias("count"))
-    # a table of motifs has 4^15 rows at most by the limit on m, and is small in use
-    rank = F.row_number().over(Window.orderBy("count", "prior")) - 1
+    if m <= RANKED_M:
+        rank = F.row_number().over(Window.orderBy("count", "prior")) - 1
+    else:
+        # too many motifs for one task: a number that orders them alike
+        rank = F.shiftleft("count", 2 * m).bitwiseOR(F.col("prior"))
     return counted.select("motif", rank.cast("long").alias("rank"), "count", (F.col("count") / fraction >= LARGE_BUCKET).alias("large"))
 
 
 def shuffled(motifs: DataFrame, seed: int) -> DataFrame:
     """Random order of a set of motifs: ranks by ``rank XOR seed``."""
-    rank = F.row_number().over(Window.orderBy(F.col("rank").bitwiseXOR(F.lit(seed)))) - 1
-    return motifs.select("motif", rank.cast("long").alias("rank"))
+    return motifs.select("motif", F.col("rank").bitwiseXOR(F.lit(seed)).cast("long").alias("rank"))
 
 
 def _ranked(reads: DataFrame, ordering: Ordering, seq: str, key: str) -> DataFrame:
