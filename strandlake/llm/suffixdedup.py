@@ -180,18 +180,16 @@ def dedup_documents(docs: DataFrame, threshold: int = THRESHOLD, gram: int | Non
     zipped = F.arrays_zip("anchor", "content", "at", "first", "last")
     each = spool(long.dropDuplicates(["blob"]).select("blob", "doc_id", "copies", F.explode(zipped).alias("r")).select("blob", "doc_id", "copies", "r.*"))
 
-    # the first digit: runs whose anchor occurs again; among those, the distinct contents
-    again = each.groupBy("anchor").count().where("count > 1").select("anchor")
-    live = each.join(again, "anchor")
-    distinct = spool(
-        live.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("blob", "at")).alias("one"))
-    )
-    kinds = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    # the first digit: runs of one content are summed up before they are dealt by anchor, and of
+    # the anchors those stay that occur again
+    contents = each.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("blob", "at")).alias("one"))
+    kinds = contents.groupBy(F.col("anchor").alias("again")).agg(F.count("*").alias("kinds"), F.sum("n").alias("runs")).where("runs > 1")
+    distinct = spool(contents.join(kinds, F.col("anchor") == F.col("again")).drop("again", "runs"))
     known = distinct.where("n > 1").select("anchor", "content")
     whole = each.where("copies = 1").join(known, ["anchor", "content"]).select("blob", F.col("first").alias("a"), (F.col("last") + threshold).alias("b"))
 
     # one copy of each distinct run of anchors with several goes on to the byte digits
-    mixed = distinct.join(kinds.where("kinds > 1"), "anchor").select("anchor", "content", "n", "one.blob", "one.at", (F.col("kinds") > crowd).alias("crowded"))
+    mixed = distinct.where("kinds > 1").select("anchor", "content", "n", "one.blob", "one.at", (F.col("kinds") > crowd).alias("crowded"))
     asked = each.join(mixed.select("blob", "at", "n", "crowded"), ["blob", "at"]).select(
         "blob", "doc_id", F.struct("anchor", "at", "first", "last", ((F.col("n") == 1) & (F.col("copies") == 1)).alias("open"), "crowded").alias("r")
     )
