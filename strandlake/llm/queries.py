@@ -83,6 +83,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+def _secrets_sql() -> str:
+    """Each rule's matches and the pieces between them, placed by running lengths."""
+    from .secrets import BASE, RULES
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    each = " UNION ALL ".join(
+        f"SELECT r, {quoted(x.kind)} AS kind, {i} AS rank, {x.least} AS least, unnest(range(len(string_split_regex(text, {quoted(x.pattern)})))) AS n, unnest(string_split_regex(text, {quoted(x.pattern)})) AS gap, "
+        f"unnest(regexp_extract_all(text, {quoted(x.pattern)}, 0)) AS m, unnest(regexp_extract_all(text, {quoted(x.pattern)}, {x.group})) AS v FROM d"
+        for i, x in enumerate(RULES)
+    )
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = {quoted(x.kind)}) AS n_{x.kind}" for x in BASE)
+    known = ", ".join(f"coalesce(n_{x.kind}, 0) AS n_{x.kind}" for x in BASE)
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), e AS ({each}),
+    p AS (SELECT r, kind, rank, least, v, m, CAST(sum(length(gap) + coalesce(length(m), 0)) OVER (PARTITION BY r, kind ORDER BY n) AS BIGINT) AS z FROM e),
+    f AS (SELECT r, kind, rank, z - length(m) AS a, kind || ':' || (z - length(m)) || ':' || z AS span FROM p WHERE m IS NOT NULL AND length(v) >= least),
+    g AS (SELECT r, {counts}, coalesce(string_agg(span, ',' ORDER BY a, rank) FILTER (WHERE rank < {len(BASE)}), '') AS base, string_agg(span, ',' ORDER BY a, rank) AS spans FROM f GROUP BY r)
+    SELECT doc_id, {known}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)"""
+
+
+def _repeats_sql(width: int = 400) -> str:
+    """Every string of ``width`` bytes by its hash, those that start twice joined to runs, and what is left between them."""
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    w AS (SELECT r, i, md5(substr(h, CAST(2 * i + 1 AS INT), {2 * width})) AS k FROM (SELECT r, h, unnest(range(length(h) // 2 - {width - 1})) AS i FROM d WHERE length(h) >= {2 * width})),
+    t AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+    j AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {width} THEN 0 ELSE 1 END AS fresh FROM t),
+    s AS (SELECT r, min(i) AS a, max(i) + {width} AS b FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM j) GROUP BY r, g),
+    x AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS last FROM s),
+    y AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS fin, string_agg(substr(h, CAST(2 * last + 1 AS INT), CAST(2 * (a - last) AS INT)), '' ORDER BY a) AS kept FROM x JOIN d USING (r) GROUP BY r)
+    SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, CAST(2 * coalesce(fin, 0) + 1 AS INT)))) AS kept_sha256 FROM d LEFT JOIN y USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """None of the ten can be put in plain SQL exactly (hashes, models, libraries); the tests hold brute-force twins."""
-    return {}
+    """SQL has no XXH64, models or tokenizers and measures edits in bytes: the other queries have brute-force twins in the tests."""
+    return {"op8_suffix_array_dedup": _repeats_sql(), "op9_secret_scan": _secrets_sql()}
