@@ -7,8 +7,10 @@ columns (also ones with clashing names) do no harm; a null text counts as the em
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,15 +45,40 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+_open: list[list[str]] = []
+
+
 def spool(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back; deleted when the driver exits."""
+    """Writes ``df`` as Parquet in the shared folder and reads it back; deleted when the driver exits, or by ``scratch``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/spool-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Inside, ``spool`` is for intermediate tables: all but the last one spooled are deleted at the end.
+
+    So the block must end by spooling its result, which then depends on nothing else. Shuffle
+    files of the finished plans go with the driver's next garbage collection, asked for here.
+    """
+    _open.append(paths := [])
+    try:
+        yield
+    finally:
+        _open.pop()
+        for path in paths[:-1]:
+            _delete(spark, path)
+        if _open:
+            _open[-1].extend(paths[-1:])
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
