@@ -13,6 +13,16 @@ at most two bits if and only if their one-bit balls meet), which is linear in th
 Defined results: null text is the empty text; texts without words have fingerprint zero and
 link like any other; equal texts are one class; the class id is the smallest doc_id
 reachable; rows with equal doc_id are separate rows of the same document; no rows, no result.
+
+``similar_documents`` is the exact counterpart for the pipeline: documents whose sets of word
+shingles have a Jaccard similarity of at least ``least``, which no radius of fingerprints covers
+for certain. Two such sets of a similarity over two thirds, not equal and both in one order, have
+neighbours in common that stand side by side in both: ``D`` differences, ``n * (1 - least) / least``
+at most, part the common elements into ``D + 1`` runs, and a run of two begins after no more than
+``D`` differences and ``D`` single common elements. So the neighbours among the first ``2 * D + 2``
+are the join keys (a passage in common seldom gives one), and each pair that meets is verified
+on the whole sets (of 64-bit hashes). Sets are not kept but made again, which saves disk. Texts
+without words have the empty set and are alike.
 """
 
 from __future__ import annotations
@@ -22,12 +32,14 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, spool, text_or_empty
+from .common import components, cut, scratch, small_side, spool, text_or_empty
 
 RADIUS = 2
 SEGMENTS = 5
 #: Fingerprints of one key above which links go through one-bit balls instead of pairs.
 CROWD = 32
+#: Shared keys of ``similar_pairs`` up to which they are broadcast.
+MET_ROWS = 1_000_000
 #: Votes of one partial sum; four 16-bit counters share a long.
 CHUNK = 32_000
 
@@ -147,5 +159,46 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, hs, sid``: the sorted distinct shingle hashes of every row, and their hash."""
+    hashes = F.coalesce(F.array_sort(F.array_distinct(shingle_hashes(text_or_empty(), shingle))), F.array().cast("array<bigint>"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashes.alias("hs")).withColumn("sid", F.xxhash64("hs"))
+
+
+def similar_pairs(docs: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
+    """All pairs ``u, v`` of different sets of ``docs`` of Jaccard similarity ``least`` or more; ``rows(doc_id, sid)`` are their names."""
+    if not 2 / 3 < least < 1:
+        raise ValueError("two neighbouring hashes are shared for certain only where the similarity is over two thirds")
+    n = F.size("hs")
+    most = F.floor(n * ((1 - least) / least) + 1e-9).cast("int")
+    pairs_of = F.transform(F.sequence(F.lit(1), 2 * most + 1), lambda i: F.xxhash64(F.element_at("hs", i), F.element_at("hs", i + 1)))
+    keyed = _sets(docs, shingle).where(most > 0).select("sid", n.alias("n"), F.explode(pairs_of).alias("key"))
+    met = spool(keyed.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("key"))
+    shared = spool(keyed.join(small_side(met, MET_ROWS), "key", "left_semi").distinct())
+    a, b = (shared.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("sid", "n")]) for side in "uv")
+    enough = F.least("n_u", "n_v") + 1e-9 >= least * F.greatest("n_u", "n_v")
+    pairs = spool(a.join(b, "key").where("sid_u < sid_v").where(enough).select(F.col("sid_u").alias("u"), F.col("sid_v").alias("v")).distinct())
+    wanted = spool(pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct())
+    # one document, and those without a name, stand for each set
+    named = small_side(rows.join(small_side(wanted), "sid").groupBy("sid").agg(F.min("doc_id").alias("id")).where("id is not null").select("id").distinct())
+    some = docs.join(named, F.col("doc_id").cast("long") == F.col("id"), "left_semi").select("doc_id", "text").unionByName(docs.where("doc_id is null").select("doc_id", "text"))
+    whole = spool(_sets(some, shingle).join(small_side(wanted), "sid", "left_semi").dropDuplicates(["sid"]).select("sid", "hs"))
+    both = pairs.join(whole.select(F.col("sid").alias("u"), F.col("hs").alias("hu")), "u").join(whole.select(F.col("sid").alias("v"), F.col("hs").alias("hv")), "v")
+    both = both.select("u", "v", F.size(F.array_intersect("hu", "hv")).alias("common"), (F.size("hu") + F.size("hv")).alias("sizes"))
+    return both.where(F.col("common") + 1e-9 >= least * (F.col("sizes") - F.col("common"))).select("u", "v")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """``doc_id, component_id`` of every row: documents of Jaccard similarity ``least`` or more, directly or in turn, are one class."""
+    with scratch(docs.sparkSession):
+        rows = spool(_sets(docs, shingle).select("doc_id", "sid"))
+        roots = components(similar_pairs(docs, rows, shingle, least))
+        sets = rows.groupBy("sid").agg(F.min("doc_id").alias("first"))
+        labelled = sets.join(roots, sets.sid == roots.u, "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
+        lowest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
+        classes = labelled.join(lowest, "root").select("sid", "component_id")
+        return spool(rows.join(classes, "sid").select("doc_id", "component_id"))
+
+
 def hex64(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
