@@ -207,10 +207,15 @@ def _slice(text: Column, h: Column) -> Column:
 
 
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
-    """Fits a model on at most ``rows`` labelled rows that are not held out, the same share of rows for each label's hash order."""
+    """Fits a model on at most ``rows`` labelled rows that are not held out, the same share of rows for each label's hash order.
+
+    Every label is learnt; more labels than ``rows`` are an error, as some would have no row to learn from.
+    """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()}
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows + 1).collect()}
     labels = list(counts)
+    if len(labels) > rows:
+        raise ValueError(f"more than {rows} labels, the rows to learn from")
     if not labels:
         return None
     each = max(1, rows // len(labels))

@@ -115,3 +115,13 @@ def test_isotonic_is_the_best_rising_fit():
     x, p = toxicity.isotonic(s, y, np.ones(200))
     assert (np.diff(p) >= 0).all() and (np.diff(x) >= 0).all()
     assert abs(np.interp(s, x, p).mean() - y.mean()) < 1e-9
+
+
+def test_more_labels_than_rows_are_an_error(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", f"l{i:03d}") for i in range(40)], "doc_id long, text string, lang string")
+    try:
+        langid.learn(docs, rows=5)
+    except ValueError as e:
+        assert "labels" in str(e)
+    else:
+        raise AssertionError("labels were left out")
