@@ -15,8 +15,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side is broadcast (after it has been counted).
-BROADCAST_ROWS = 50_000
+#: Bytes up to which a side is broadcast, after they have been summed up.
+BROADCAST_BYTES = 24 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -92,9 +92,27 @@ def arrow_rows(spark: SparkSession, rows: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count proves it small; else as it is (a shuffled join)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _width(df: DataFrame) -> Column:
+    """About how many bytes a row takes when it is broadcast."""
+    fixed, sizes = 0, []
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            sizes.append(F.octet_length(F.col(f.name)))
+        elif kind in ("array", "map"):
+            sizes.append(F.octet_length(F.to_json(F.struct(F.col(f.name)))))
+        else:
+            fixed += 32 if kind == "struct" else 8
+    return sum((F.coalesce(x, F.lit(0)).cast("long") for x in sizes), F.lit(fixed + 16).cast("long"))
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted and measured to be small; else as it is (a shuffled join).
+
+    Reads no more rows than could fit. ``df`` is made twice, so it should be cheap or spooled.
+    """
+    rows, size = df.select(_width(df).alias("w")).limit(most // 24 + 1).agg(F.count("*"), F.sum("w")).first()
+    return F.broadcast(df) if rows <= most // 24 and (size or 0) <= most else df
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -38,8 +38,6 @@ RADIUS = 2
 SEGMENTS = 5
 #: Fingerprints of one key above which links go through one-bit balls instead of pairs.
 CROWD = 32
-#: Shared keys of ``similar_pairs`` up to which they are broadcast.
-MET_ROWS = 1_000_000
 #: Votes of one partial sum; four 16-bit counters share a long.
 CHUNK = 32_000
 
@@ -174,7 +172,7 @@ def similar_pairs(docs: DataFrame, rows: DataFrame, shingle: int, least: float)
     pairs_of = F.transform(F.sequence(F.lit(1), 2 * most + 1), lambda i: F.xxhash64(F.element_at("hs", i), F.element_at("hs", i + 1)))
     keyed = _sets(docs, shingle).where(most > 0).select("sid", n.alias("n"), F.explode(pairs_of).alias("key"))
     met = spool(keyed.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("key"))
-    shared = spool(keyed.join(small_side(met, MET_ROWS), "key", "left_semi").distinct())
+    shared = spool(keyed.join(small_side(met), "key", "left_semi").distinct())
     a, b = (shared.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("sid", "n")]) for side in "uv")
     enough = F.least("n_u", "n_v") + 1e-9 >= least * F.greatest("n_u", "n_v")
     pairs = spool(a.join(b, "key").where("sid_u < sid_v").where(enough).select(F.col("sid_u").alias("u"), F.col("sid_v").alias("v")).distinct())
