@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import minimizer
-from .operators.index import KmerIndex, Params
+from .operators.index import KmerIndex, Kmers, Params
 from .operators.minimizer import Ordering
-from .operators.sequence import fragments
 from .sources import sequences, sinks
 
 
@@ -52,7 +51,10 @@ def parser() -> argparse.ArgumentParser:
         v.add_argument("-r", "--rule", default=rule, choices=rules)
         v.add_argument("-o", "--output", required=True)
     verb("sample", "sample and write a minimizer ordering").add_argument("-o", "--output", required=True)
-    verb("reindex", "store an index under another ordering or number of buckets").add_argument("-o", "--output", required=True)
+    v = verb("reindex", "store an index under another ordering or number of buckets")
+    v.add_argument("-o", "--output", required=True)
+    v.add_argument("--changeMinimizers", action="store_true", help="take the ordering asked for; else the index keeps its own")
+    v.add_argument("--compatible", help="stored index whose ordering is taken")
     return p
 
 
@@ -65,26 +67,27 @@ def motifs(spark: SparkSession, a) -> DataFrame:
 
 
 def ordering(spark: SparkSession, a, reads: DataFrame | None) -> Ordering:
-    has_set = a.minimizers and not a.allMinimizers
-    if a.ordering == "frequency" and reads is not None:
-        table = minimizer.frequency_table(reads, motifs(spark, a), a.m, a.sample, a.seed).cache()
-        return Ordering(a.m, "table", table=table)
-    if a.ordering == "given" or has_set and a.ordering in ("lexicographic", "frequency"):
-        table = motifs(spark, a)
-        if a.ordering == "lexicographic":
-            table = table.select("motif", F.conv(F.translate("motif", "ACGT", "0123"), 4, 10).cast("long").alias("rank"))
-        return Ordering(a.m, "table", table=table)
-    if a.ordering == "random":
-        if has_set:
-            return Ordering(a.m, "table", table=minimizer.shuffled(motifs(spark, a), a.seed))
-        # a mask of 2m bits from the seed
-        return Ordering(a.m, "random", (a.seed * 0x9E3779B97F4A7C15 >> 7) % 4**a.m)
-    return Ordering(a.m, "lexicographic" if a.ordering == "frequency" else a.ordering)
+    some = motifs(spark, a) if a.minimizers and not a.allMinimizers else None
+    kind = a.ordering
+    if kind == "frequency" and reads is None:
+        kind = "given" if some is not None else "lexicographic"
+    if kind == "given" and some is None:
+        some = motifs(spark, a)
+    made = minimizer.make_ordering(spark, kind, a.m, some, reads, a.sample, a.seed)
+    if made.table is not None:
+        made.table.cache()
+    return made
 
 
 def reads_of(spark: SparkSession, a) -> DataFrame:
-    raw = sequences.read_sequences(spark, a.files, a.k).select(F.monotonically_increasing_id().alias("read"), F.col("location"), F.col("nucleotides").alias("seq"))
-    return fragments(raw, "seq", "location").select(F.struct("read", "location").alias("read_id"), "seq")
+    return Kmers.of_files(spark, a.files, Params(a.k, a.m)).reads
+
+
+def pregroup(spark: SparkSession, a, reads: DataFrame) -> bool:
+    """auto: pays where a sampled motif is expected to hold very many k-mers."""
+    if a.method == "auto":
+        return minimizer.pays_to_pregroup(minimizer.frequency_table(reads, minimizer.all_motifs(spark, min(a.m, 10)), min(a.m, 10), a.sample, a.seed))
+    return a.method == "pregrouped"
 
 
 def inputs(spark: SparkSession, a) -> list[KmerIndex]:
@@ -96,11 +99,16 @@ def inputs(spark: SparkSession, a) -> list[KmerIndex]:
     if a.k is None:
         raise SystemExit("-k is needed")
     if a.files:
-        params = Params(a.k, a.m, a.normalize, a.ordering, buckets=a.partitions)
-        stored.append(KmerIndex.of_reads(reads_of(spark, a), params, pregroup=a.method == "pregrouped"))
+        reads = reads_of(spark, a)
+        if stored:
+            stored.append(stored[0].of_more_reads(reads, pregroup=pregroup(spark, a, reads)))
+        else:
+            by = ordering(spark, a, reads if a.command == "store" else None)
+            counted = KmerIndex.of_reads(reads, Params(a.k, a.m, a.normalize, buckets=a.partitions), pregroup=pregroup(spark, a, reads))
+            stored.append(counted.change_ordering(by))
     if not stored:
         raise SystemExit("no input")
-    return [x.filter_counts(a.min, a.max) for x in stored]
+    return stored
 
 
 def show(index: KmerIndex) -> str:
@@ -117,6 +125,8 @@ def run(spark: SparkSession, argv: list[str]) -> str:
         sinks.write_frequencies(table, a.output)
         return f"{a.output}_minimizers_sample.txt"
     found = inputs(spark, a)
+    bounded = lambda x: x.filter_counts(a.min, a.max)
+    # sums are bounded, not what goes into them
     first, rest = found[0], found[1:]
     if a.command == "count":
         if a.superkmers or a.buckets:
@@ -127,7 +137,7 @@ def run(spark: SparkSession, argv: list[str]) -> str:
                 return f"{a.output}_superkmers"
             sinks.write_bucket_stats(minimizer.bucket_stats(reads, a.k, by, a.min or 1, a.max), a.output)
             return f"{a.output}_bucketStats"
-        index = first.union_many(rest)
+        index = bounded(first.union_many(rest))
         if a.histogram:
             sinks.write_histogram(index.histogram(), a.output)
         elif a.tsv:
@@ -136,22 +146,30 @@ def run(spark: SparkSession, argv: list[str]) -> str:
             sinks.write_fasta_counts(index.counted(a.normalize), a.output)
         return f"{a.output}_counts"
     if a.command == "stats":
-        index = first.union_many(rest)
+        index = bounded(first.union_many(rest))
         text = show(index)
+        if a.index and not a.files:
+            rows = minimizer.stats_report(index.bins().withColumn("superKmers", F.lit(None).cast("long"))).collect()
+            text += "\n" + (sinks.write_report(rows, a.output, spark) if a.output else sinks.report(rows))
         if a.files and not a.index:
             reads = reads_of(spark, a)
             stats = minimizer.bucket_stats(reads, a.k, ordering(spark, a, reads), a.min or 1, a.max)
-            row = minimizer.stats_report(stats).first()
-            text += "\n" + (sinks.write_report(row, a.output, spark) if a.output else sinks.report(row))
+            rows = minimizer.stats_report(stats).collect()
+            text += "\n" + (sinks.write_report(rows, a.output, spark) if a.output else sinks.report(rows))
         return text
     if a.command == "store":
-        first.union_many(rest).repartition(a.partitions).write(a.output)
+        bounded(first.union_many(rest)).repartition(a.partitions).write(a.output)
     elif a.command == "reindex":
-        kind = a.ordering if a.ordering in ("lexicographic", "signature") else "lexicographic"
-        first.change_ordering(Ordering(a.m, kind)).repartition(a.partitions).write(a.output)
+        index = bounded(first.union_many(rest))
+        if a.compatible:
+            index = index.change_ordering(KmerIndex.read(spark, a.compatible).ordering)
+        elif a.changeMinimizers:
+            # what frequencies are sampled from: the k-mers that the index holds
+            index = index.change_ordering(ordering(spark, a, index.df.select(F.col("kmer").alias("seq"))))
+        index.repartition(a.partitions).write(a.output)
     else:
         many = {"intersect": first.intersect_many, "union": first.union_many, "subtract": first.subtract_many}[a.command]
-        many(rest, a.rule).repartition(first.params.buckets).write(a.output)
+        bounded(many(rest, a.rule)).repartition(first.params.buckets).write(a.output)
     return show(KmerIndex.read(spark, a.output))
 
 

@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dna import MAX_COUNT, canonical, is_forward
+from ..sources.sequences import read_sequences
 from . import algebra
-from .minimizer import Ordering, check
-from .sequence import count_kmers
+from .minimizer import Ordering, bucket_stats, check, kmer_bins, supermers
+from .sequence import count_kmers, fragments
 
 SCHEMA = "kmer string, count int"
 
@@ -37,17 +38,19 @@ class Params:
             check(self.k, min(self.m, self.k - 1))
 
 
-def fraction_of(hashed: Column, fraction: float) -> Column:
+def fraction_of(name: Column, fraction: float) -> Column:
+    """Whether a string is among a fraction of all strings, by the first 32 bits of its MD5."""
     if not 0 < fraction <= 1:
         raise ValueError("the fraction must be above 0 and at most 1")
-    return F.pmod(hashed, F.lit(1_000_000)) < int(fraction * 1_000_000)
+    bits = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.pmod(bits, F.lit(1_000_000)) < int(fraction * 1_000_000)
 
 
 class KmerIndex:
     """Every operation gives a new index over a lazy plan; nothing is computed before an action."""
 
-    def __init__(self, df: DataFrame, params: Params):
-        self.df, self.params = df.select("kmer", F.col("count").cast("int").alias("count")), params
+    def __init__(self, df: DataFrame, params: Params, motifs: DataFrame | None = None):
+        self.df, self.params, self.motifs = df.select("kmer", F.col("count").cast("int").alias("count")), params, motifs
 
     # --- building -------------------------------------------------------------------------
 
@@ -65,7 +68,25 @@ class KmerIndex:
         return cls(spark.createDataFrame([], SCHEMA), params)
 
     def _with(self, df: DataFrame) -> KmerIndex:
-        return KmerIndex(df, self.params)
+        return KmerIndex(df, self.params, self.motifs)
+
+    def empty_like(self) -> KmerIndex:
+        """Without k-mers, with this index's parameters and ordering."""
+        return self._with(self.df.sparkSession.createDataFrame([], SCHEMA))
+
+    def of_more_reads(self, reads: DataFrame, seq: str = "seq", pregroup: bool = False) -> KmerIndex:
+        """An index of other reads that fits this one: same parameters, same ordering."""
+        return self._with(count_kmers(reads, self.params.k, seq=seq, normalize=self.params.normalize, pregroup=pregroup))
+
+    @property
+    def ordering(self) -> Ordering:
+        """The minimizer ordering that the index was made or stored with."""
+        p = self.params
+        return Ordering(p.m, p.ordering, p.mask, self.motifs) if p.ordering == "table" else Ordering(p.m, p.ordering, p.mask)
+
+    def bins(self) -> DataFrame:
+        """Statistics of each minimizer's k-mers, also of a stored index (super-mers aren't kept)."""
+        return kmer_bins(self.df, self.params.k, self.ordering)
 
     def _checked(self, other: KmerIndex) -> KmerIndex:
         """Indexes fit if they count the same k-mers; orderings don't matter to counts."""
@@ -106,7 +127,7 @@ class KmerIndex:
 
     def sample_hash(self, fraction: float) -> KmerIndex:
         """As ``sample``, the same k-mers in every index and run."""
-        return self._with(self.df.where(fraction_of(F.xxhash64("kmer"), fraction)))
+        return self._with(self.df.where(fraction_of(F.col("kmer"), fraction)))
 
     def forward(self) -> KmerIndex:
         return self._with(self.df.where(is_forward("kmer")))
@@ -178,12 +199,14 @@ class KmerIndex:
         return self
 
     def repartition(self, buckets: int) -> KmerIndex:
-        return KmerIndex(self.df.repartition(buckets, "kmer"), replace(self.params, buckets=buckets))
+        return KmerIndex(self.df.repartition(buckets, "kmer"), replace(self.params, buckets=buckets), self.motifs)
 
     def change_ordering(self, ordering: Ordering) -> KmerIndex:
         """Another minimizer ordering: counts don't depend on it, so only the parameters change."""
         check(self.params.k, ordering.m)
-        return KmerIndex(self.df, replace(self.params, m=ordering.m, ordering=ordering.kind, mask=ordering.mask))
+        if ordering.kind == "priority":
+            raise ValueError("a function can't be stored: make a table of it")
+        return KmerIndex(self.df, replace(self.params, m=ordering.m, ordering=ordering.kind, mask=ordering.mask), ordering.table)
 
     def write(self, location: str) -> None:
         """Bucketed and sorted Parquet with the parameters beside it; equal buckets join without a shuffle."""
@@ -193,6 +216,8 @@ class KmerIndex:
         spark.sql(f"DROP TABLE {table}")  # external: the files stay
         line = json.dumps(asdict(self.params))
         spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{location}_params")
+        if self.motifs is not None:
+            self.motifs.select("motif", "rank").write.mode("overwrite").parquet(f"{location}_motifs")
 
     @classmethod
     def read(cls, spark: SparkSession, location: str) -> KmerIndex:
@@ -200,4 +225,30 @@ class KmerIndex:
         table = f"kmers_{uuid.uuid4().hex}"
         path = location.replace("'", "\\'")
         spark.sql(f"CREATE TABLE {table} (kmer STRING, count INT) USING parquet CLUSTERED BY (kmer) SORTED BY (kmer) INTO {params.buckets} BUCKETS LOCATION '{path}'")
-        return cls(spark.table(table), params)
+        return cls(spark.table(table), params, spark.read.parquet(f"{location}_motifs") if params.ordering == "table" else None)
+
+
+class Kmers:
+    """Files or reads and how they are to be counted: k-mers, super-mers and an index of the same input."""
+
+    def __init__(self, reads: DataFrame, params: Params, ordering: Ordering | None = None, seq: str = "seq", key: str = "read_id"):
+        self.reads, self.params, self.seq, self.key = reads, params, seq, key
+        self.ordering = ordering or Ordering(params.m, params.ordering, params.mask)
+
+    @classmethod
+    def of_files(cls, spark: SparkSession, paths: list[str], params: Params, ordering: Ordering | None = None) -> Kmers:
+        raw = read_sequences(spark, paths, params.k).select(F.monotonically_increasing_id().alias("read"), "location", F.col("nucleotides").alias("seq"))
+        return cls(fragments(raw, "seq", "location").select(F.struct("read", "location").alias("read_id"), "seq"), params, ordering)
+
+    def index(self, pregroup: bool = False) -> KmerIndex:
+        counted = KmerIndex.of_reads(self.reads, self.params, self.seq, pregroup)
+        return counted.change_ordering(self.ordering) if self.ordering.kind != "priority" else counted
+
+    def counts(self) -> DataFrame:
+        return self.index().df
+
+    def supermers(self) -> DataFrame:
+        return supermers(self.reads, self.params.k, self.ordering, self.seq, self.key)
+
+    def bins(self, low: int = 1, high: int | None = None) -> DataFrame:
+        return bucket_stats(self.reads, self.params.k, self.ordering, low, high, self.seq, self.key)

@@ -4,10 +4,14 @@ A k-mer's minimizer is its m-mer of least rank, the leftmost of equals. Ordering
 formula of the m-mer are computed within the row; orderings by a table join it to the m-mers.
 Super-mers are formed within each read, without a shuffle, as the leftmost least place never
 moves back along a read.
+
+Defined results: null and too short sequences give nothing; rows that are alike in key and
+sequence are reads of their own, each with all its super-mers; ties of rank go to the left.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,12 +30,16 @@ RANKED_M = 10
 
 @dataclass(frozen=True)
 class Ordering:
-    """kind: lexicographic, signature, random (by ``mask``) or table (``motif``, ``rank``)."""
+    """kind: lexicographic, signature, random (by ``mask``), table (``motif``, ``rank``) or priority.
+
+    A priority is any function of an m-mer's column to a column that m-mers are compared by.
+    """
 
     m: int
     kind: str = "lexicographic"
     mask: int = 0
     table: DataFrame | None = field(default=None, compare=False)
+    priority: Callable[[Column], Column] | None = field(default=None, compare=False)
 
     def __post_init__(self):
         most = 15 if self.kind == "table" else 31
@@ -39,6 +47,8 @@ class Ordering:
             raise ValueError(f"m must be from 1 to {most}")
         if (self.kind == "table") != (self.table is not None):
             raise ValueError("a table ordering needs a table, others take none")
+        if (self.kind == "priority") != (self.priority is not None):
+            raise ValueError("a priority ordering needs a function, others take none")
 
     def rank(self, mmer: Column) -> Column:
         """What m-mers are compared by (not for tables)."""
@@ -46,6 +56,8 @@ class Ordering:
             return F.struct(mmer.alias("r"))
         if self.kind == "signature":
             return F.struct(is_low(mmer).cast("int").alias("low"), mmer.alias("r"))
+        if self.priority is not None:
+            return F.struct(self.priority(mmer).alias("r"))
         if self.kind == "random":
             return F.struct(encode(mmer).bitwiseXOR(F.lit(self.mask)).alias("r"))
         raise ValueError(f"no such ordering: {self.kind}")
@@ -82,14 +94,16 @@ def frequency_table(reads: DataFrame, motifs: DataFrame, m: int, fraction: float
     """``motif, rank, count, large``: rare motifs first, then by prior rank; unseen ones count 0."""
     if not 0 < fraction <= 1:
         raise ValueError("the fraction must be above 0 and at most 1")
+    if not 1 <= m <= 15:
+        raise ValueError("m must be from 1 to 15")
     sampled = reads if fraction == 1 else reads.sample(fraction, seed)
     counted = motifs.join(motif_counts(sampled, m, None, seq), "motif", "left").select("motif", F.col("rank").alias("prior"), F.coalesce("count", F.lit(0)).cast("long").alias("count"))
     if m <= RANKED_M:
         rank = F.row_number().over(Window.orderBy("count", "prior")) - 1
     else:
         # too many motifs for one task: a number that orders them alike
-        rank = F.shiftleft("count", 2 * m).bitwiseOR(F.col("prior"))
-    return counted.select("motif", rank.cast("long").alias("rank"), "count", (F.col("count") / fraction >= LARGE_BUCKET).alias("large"))
+        rank = F.col("count").cast("decimal(28,0)") * F.lit(4**m) + F.col("prior")
+    return counted.select("motif", (rank.cast("long") if m <= RANKED_M else rank).alias("rank"), "count", (F.col("count") / fraction >= LARGE_BUCKET).alias("large"))
 
 
 def shuffled(motifs: DataFrame, seed: int) -> DataFrame:
@@ -98,7 +112,7 @@ def shuffled(motifs: DataFrame, seed: int) -> DataFrame:
 
 
 def _ranked(reads: DataFrame, ordering: Ordering, seq: str, key: str) -> DataFrame:
-    """``key, seq, mm``: array of (rank, place) of all m-mers, in order of place."""
+    """``key, seq, mm`` of every row: array of (rank, place) of all m-mers, in order of place."""
     m = ordering.m
     long = reads.where(F.length(seq) >= m)
     places = F.sequence(F.lit(1), F.length(seq) - (m - 1))
@@ -108,10 +122,12 @@ def _ranked(reads: DataFrame, ordering: Ordering, seq: str, key: str) -> DataFra
     table = ordering.table.select("motif", "rank")
     if table.limit(BROADCAST_MOTIFS + 1).count() <= BROADCAST_MOTIFS:
         table = F.broadcast(table)
-    each = long.select(key, seq, F.explode(places).alias("p")).withColumn("motif", F.substring(F.col(seq), F.col("p"), F.lit(m)))
+    # numbered first, so that rows that are alike stay apart
+    rows = long.select(key, seq, F.monotonically_increasing_id().alias("__row"))
+    each = rows.select("__row", key, seq, F.explode(places).alias("p")).withColumn("motif", F.substring(F.col(seq), F.col("p"), F.lit(m)))
     joined = each.join(table, "motif", "left")
     # m-mers outside the set rank after all others; whether one is chosen is checked by the caller
-    return joined.groupBy(key, seq).agg(F.array_sort(F.collect_list(F.struct("p", F.struct(F.col("rank").isNull().alias("out"), "rank").alias("rank")))).alias("ps")).select(
+    return joined.groupBy("__row", key, seq).agg(F.array_sort(F.collect_list(F.struct("p", F.struct(F.col("rank").isNull().alias("out"), "rank").alias("rank")))).alias("ps")).select(
         key, seq, F.transform("ps", lambda x: F.struct(x["rank"].alias("rank"), x["p"].alias("p"))).alias("mm")
     )
 
@@ -126,9 +142,19 @@ def supermers(reads: DataFrame, k: int, ordering: Ordering, seq: str = "seq", ke
     ranked = _ranked(reads.where(F.length(seq) >= k), ordering, seq, key)
     least = F.transform(F.sequence(F.lit(1), F.length(seq) - (k - 1)), lambda i: F.array_min(F.slice("mm", i, F.lit(k - ordering.m + 1))))
     # one entry per run: the place of the minimizer, where the run starts and how many k-mers it has
-    run = lambda mins: F.transform(
-        F.array_distinct(mins), lambda x: F.struct(x["p"].alias("p"), x["rank"].alias("rank"), F.array_position(mins, x).alias("first"), F.size(F.filter(mins, lambda y: y == x)).alias("n"))
-    )
+    starts = lambda mins: F.filter(F.sequence(F.lit(1), F.size(mins)), lambda i: (i == 1) | (F.element_at(mins, i)["p"] != F.element_at(mins, F.greatest(i - 1, F.lit(1)))["p"]))
+
+    def run(mins: Column) -> Column:
+        def entry(at: Column) -> Column:
+            return F.transform(
+                at["a"],
+                lambda s, i: F.struct(
+                    F.element_at(mins, s)["p"].alias("p"), F.element_at(mins, s)["rank"].alias("rank"), s.alias("first"), (F.coalesce(F.get(at["a"], i + 1), F.size(mins) + 1) - s).alias("n")
+                ),
+            )
+
+        return F.transform(F.array(F.struct(starts(mins).alias("a"))), entry)[0]
+
     each = ranked.select(key, seq, F.explode(F.transform(F.array(least), run)[0]).alias("s"))
     if ordering.kind == "table":
         outside = F.col("s.rank.out")
@@ -188,17 +214,75 @@ def bin_distribution(stats: DataFrame, width: int = 100) -> DataFrame:
 
 
 def stats_report(stats: DataFrame) -> DataFrame:
-    """One row over the bins that are not empty."""
+    """Over the bins that are not empty: ``statistic, bins, total, mean, least, most, spread``, a row for each of ``STATS``."""
     full = stats.where("totalAbundance > 0")
-    spread = [f(c).alias(f"{n}_{c}") for c in ("distinctKmers", "totalAbundance", "superKmers") for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max), ("stddev", F.stddev))]
-    return full.agg(
-        F.count("*").alias("bins"),
-        F.sum("distinctKmers").alias("distinct"),
-        F.sum("uniqueKmers").alias("unique"),
-        F.sum("totalAbundance").alias("total"),
-        (F.sum("totalAbundance") / F.sum("distinctKmers")).alias("mean_abundance"),
-        F.max("maxAbundance").alias("max"),
-        F.sum("superKmers").alias("super"),
-        (F.sum("totalAbundance") / F.sum("superKmers")).alias("mean_length"),
-        *spread,
+    pairs = ", ".join(f"'{c}', {c}" for c in STATS)
+    long = full.selectExpr(f"stack({len(STATS)}, {pairs}) AS (statistic, v)")
+    return long.groupBy("statistic").agg(
+        F.count("*").alias("bins"), F.sum("v").alias("total"), F.avg("v").alias("mean"), F.min("v").alias("least"), F.max("v").alias("most"), F.stddev("v").alias("spread")
+    )
+
+
+def merge_stats(*parts: DataFrame) -> DataFrame:
+    """Statistics of bins that were gathered apart (of different k-mers): sums, and the largest of maxima."""
+    every = parts[0].select("minimizer", *STATS)
+    for p in parts[1:]:
+        every = every.unionAll(p.select("minimizer", *STATS))
+    return every.groupBy("minimizer").agg(*[F.sum(c).cast("long").alias(c) for c in STATS[:-1]], F.max(STATS[-1]).cast("long").alias(STATS[-1]))
+
+
+def equal_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``minimizer, equal``: whether both have the same k-mer statistics of a bin (super-mers may be cut otherwise)."""
+    named = b.select(F.col("minimizer").alias("other"), *[F.col(c).alias(f"b_{c}") for c in STATS[1:]])
+    same = F.lit(True)
+    for c in STATS[1:]:
+        same = same & F.coalesce(c, F.lit(0)).eqNullSafe(F.coalesce(f"b_{c}", F.lit(0)))
+    return a.join(named, F.col("minimizer") == F.col("other"), "full").select(F.coalesce("minimizer", "other").alias("minimizer"), same.alias("equal"))
+
+
+def motif_report(table: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` most and the ``n`` least frequent motifs that were seen: ``end, motif, count, share``."""
+    seen = table.where("count > 0")
+    total = F.broadcast(seen.agg(F.sum("count").alias("total")))
+    ends = seen.orderBy(F.desc("count"), "motif").limit(n).withColumn("end", F.lit("top")).unionByName(seen.orderBy("count", "motif").limit(n).withColumn("end", F.lit("bottom")))
+    # the total is one row
+    return ends.crossJoin(total).select("end", "motif", "count", (F.col("count") / F.col("total")).alias("share"))
+
+
+def pays_to_pregroup(table: DataFrame) -> bool:
+    """Whether a frequency table expects a motif with so many k-mers that equal sequences are better counted first."""
+    return bool(table.where("large").take(1))
+
+
+def make_ordering(spark, kind: str, m: int, motifs: DataFrame | None = None, reads: DataFrame | None = None, fraction: float = 0.01, seed: int = 0, priority=None) -> Ordering:
+    """An ordering by its name, over the set ``motifs(motif, rank)`` or all motifs.
+
+    frequency is sampled from ``reads(seq)``; random draws its mask from the seed; given takes
+    the set's own ranks; priority takes a function.
+    """
+    if kind == "priority":
+        return Ordering(m, "priority", priority=priority)
+    if kind == "frequency":
+        if reads is None:
+            raise ValueError("a frequency ordering is sampled from reads")
+        return Ordering(m, "table", table=frequency_table(reads, motifs if motifs is not None else all_motifs(spark, m), m, fraction, seed))
+    if kind == "given":
+        if motifs is None:
+            raise ValueError("a given ordering needs a set of motifs")
+        return Ordering(m, "table", table=motifs)
+    if kind == "random":
+        if motifs is not None:
+            return Ordering(m, "table", table=shuffled(motifs, seed))
+        # a mask of 2m bits from the seed
+        return Ordering(m, "random", (seed * 0x9E3779B97F4A7C15 >> 7) % 4**m)
+    if motifs is not None and kind == "lexicographic":
+        return Ordering(m, "table", table=motifs.select("motif", encode(F.col("motif")).alias("rank")))
+    return Ordering(m, kind)
+
+
+def kmer_bins(counts: DataFrame, k: int, ordering: Ordering) -> DataFrame:
+    """Per minimizer of counted k-mers: ``minimizer, totalAbundance, distinctKmers, uniqueKmers, maxAbundance``."""
+    each = supermers(counts.select(F.struct("kmer", "count").alias("of"), "kmer"), k, ordering, "kmer", "of").select("minimizer", F.col("of.count").alias("c"))
+    return each.groupBy("minimizer").agg(
+        F.sum("c").cast("long").alias("totalAbundance"), F.count("*").alias("distinctKmers"), F.sum((F.col("c") == 1).cast("long")).alias("uniqueKmers"), F.max("c").cast("long").alias("maxAbundance")
     )

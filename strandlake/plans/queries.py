@@ -60,8 +60,8 @@ def part_reads(spark, d, to=CLEAN):
     return table(spark, d, "part").select(F.col("p_partkey").alias("read_id"), bases(F.col("p_partkey"), to).alias("seq"))
 
 
-def line_reads(spark, d, where: str = "true"):
-    return table(spark, d, "lineitem").where(where).select(bases(F.col("l_partkey")).alias("seq"))
+def line_reads(spark, d):
+    return table(spark, d, "lineitem").select(bases(F.col("l_partkey")).alias("seq"))
 
 
 def sql_bases(key: str, to: str = CLEAN) -> str:
@@ -71,10 +71,6 @@ def sql_bases(key: str, to: str = CLEAN) -> str:
 PART = f"SELECT p_partkey AS read_id, {sql_bases('p_partkey')} AS seq FROM part"
 
 
-def sql_lines(where: str = "true") -> str:
-    return f"SELECT {sql_bases('l_partkey')} AS seq FROM lineitem WHERE {where}"
-
-
 def sql_kmers(k: int, source: str, *keep: str) -> str:
     cols = "".join(f"{c}, " for c in keep)
     return f"SELECT {cols}i, substr(seq, CAST(i AS INT), {k}) AS kmer FROM (SELECT *, unnest(range(1, length(seq) - {k} + 2)) AS i FROM ({source}) WHERE length(seq) >= {k})"
@@ -88,19 +84,20 @@ def sql_count(k: int, source: str) -> str:
 
 
 RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
-A_WHERE = "l_returnflag = 'A' AND l_partkey % 3 <> 0"
-B_WHERE = "l_returnflag = 'R' AND l_partkey % 3 <> 1"
-C_WHERE = "l_returnflag = 'N' AND l_partkey % 3 <> 2"
-N_WHERE = "l_returnflag = 'N'"
+#: Whole tables whose keys, each times a factor, give operands that share some reads and hold some of their own.
+A, B, C, N = ("lineitem", "l_partkey", 1), ("orders", "o_custkey", 2), ("lineitem", "l_suppkey", 3), ("customer", "c_custkey", 4)
 
 
-def index(spark, d, where: str = "true", k: int = K) -> KmerIndex:
+def index(spark, d, source: tuple[str, str, int] = A) -> KmerIndex:
+    name, key, times = source
+    reads = table(spark, d, name).select(bases(F.col(key).cast("long") * times).alias("seq"))
     # the reads repeat about thirty times: equal ones are counted before they are cut
-    return KmerIndex.of_reads(line_reads(spark, d, where), Params(k), pregroup=True)
+    return KmerIndex.of_reads(reads, Params(K), pregroup=True)
 
 
-def sql_index(where: str = "true") -> str:
-    return sql_count(K, sql_lines(where))
+def sql_index(source: tuple[str, str, int] = A) -> str:
+    name, key, times = source
+    return sql_count(K, f"SELECT {sql_bases(f'CAST({key} AS BIGINT) * {times}')} AS seq FROM {name}")
 
 
 # --- counting ------------------------------------------------------------------------------------
@@ -248,7 +245,7 @@ def top_kmers(spark, d):
 
 # --- algebra ---------------------------------------------------------------------------------------
 
-IA, IB, IC, IN = (sql_index(w) for w in (A_WHERE, B_WHERE, C_WHERE, N_WHERE))
+IA, IB, IC, IN = (sql_index(x) for x in (A, B, C, N))
 FULL = "SELECT * FROM (SELECT kmer, CAST(least({0}, 2147483647) AS INTEGER) AS count FROM (SELECT kmer, x.count AS a, y.count AS b FROM ({1}) x {3} JOIN ({2}) y USING (kmer))) WHERE count > 0"
 RULE_SQL = {"sum": "CAST(a AS BIGINT) + b", "max": "greatest(a, b)", "min": "least(a, b)", "left": "a", "right": "b", "counters_subtract": "a - b"}
 
@@ -266,7 +263,7 @@ def sql_subtract(a: str, b: str) -> str:
 
 
 def _pair(spark, d):
-    return index(spark, d, A_WHERE), index(spark, d, B_WHERE)
+    return index(spark, d, A), index(spark, d, B)
 
 
 def _binary(name: str, op: str, rule: str, sql: str) -> None:
@@ -286,43 +283,43 @@ _binary("subtract_kmers", "subtract", "kmers_subtract", f"SELECT * FROM ({IA}) W
 
 @query("self_union_max", IA)
 def self_union_max(spark, d):
-    a = index(spark, d, A_WHERE)
+    a = index(spark, d, A)
     return a.union(a, "max").df
 
 
 @query("self_intersect_max", IA)
 def self_intersect_max(spark, d):
-    a = index(spark, d, A_WHERE)
+    a = index(spark, d, A)
     return a.intersect(a, "max").df
 
 
 @query("union_many_sum", sql_union("sum", sql_union("sum", IA, IB), IC))
 def union_many_sum(spark, d):
     a, b = _pair(spark, d)
-    return a.union_many([b, index(spark, d, C_WHERE)]).df
+    return a.union_many([b, index(spark, d, C)]).df
 
 
 @query("intersect_many_min", sql_intersect("min", sql_intersect("min", IA, IB), IN))
 def intersect_many_min(spark, d):
     a, b = _pair(spark, d)
-    return a.intersect_many([b, index(spark, d, N_WHERE)]).df
+    return a.intersect_many([b, index(spark, d, N)]).df
 
 
 @query("subtract_many_counters", sql_subtract(sql_subtract(IA, IB), IC))
 def subtract_many_counters(spark, d):
     a, b = _pair(spark, d)
-    return a.subtract_many([b, index(spark, d, C_WHERE)]).df
+    return a.subtract_many([b, index(spark, d, C)]).df
 
 
 @query("chain_filter_union_union", sql_union("sum", sql_union("sum", f"SELECT * FROM ({IA}) WHERE count >= 8", IB), IN))
 def chain_filter_union_union(spark, d):
     a, b = _pair(spark, d)
-    return a.filter_min(8).union(b).union(index(spark, d, N_WHERE)).df
+    return a.filter_min(8).union(b).union(index(spark, d, N)).df
 
 
 @query("empty_union", IA)
 def empty_union(spark, d):
-    a = index(spark, d, A_WHERE)
+    a = index(spark, d, A)
     return KmerIndex.empty(spark, a.params).union(a).df
 
 
@@ -351,11 +348,13 @@ RANKS = {
     "random_xor": f"lpad(CAST(xor(CAST({ENC.format('mmer')} AS INTEGER), {MASK}) AS VARCHAR), 9, '0')",
     "given": "lpad(CAST(rank AS VARCHAR), 9, '0')",
     "frequency": "lpad(CAST(rank AS VARCHAR), 9, '0')",
+    "shuffled": "lpad(CAST(rank AS VARCHAR), 9, '0')",
 }
 ALL_MOTIFS = "SELECT a.x || b.x || c.x || d.x AS motif FROM (VALUES ('A'),('C'),('G'),('T')) a(x), (VALUES ('A'),('C'),('G'),('T')) b(x), (VALUES ('A'),('C'),('G'),('T')) c(x), (VALUES ('A'),('C'),('G'),('T')) d(x)"
 MOTIF_COUNTS = f"SELECT kmer AS motif, count(*) AS count FROM ({sql_kmers(M, PART)}) GROUP BY 1"
 TABLES = {
     "given": f"SELECT motif, row_number() OVER (ORDER BY reverse(motif)) - 1 AS rank FROM ({ALL_MOTIFS})",
+    "shuffled": f"SELECT motif, xor(CAST({ENC.format('motif')} AS INTEGER), {MASK}) AS rank FROM ({ALL_MOTIFS})",
     "frequency": f"SELECT motif, row_number() OVER (ORDER BY coalesce(count, 0), motif) - 1 AS rank FROM ({ALL_MOTIFS}) LEFT JOIN ({MOTIF_COUNTS}) USING (motif)",
 }
 
@@ -389,7 +388,7 @@ def _supermers(kind: str) -> None:
         return minimizer.supermers(part_reads(spark, d), KM, ordering(spark, d, kind))
 
 
-for _kind in RANKS:
+for _kind in [x for x in RANKS if x != "shuffled"]:
     _supermers(_kind)
 
 
@@ -446,17 +445,76 @@ def bin_distribution(spark, d):
     return minimizer.bin_distribution(_stats(spark, d))
 
 
-_SPREAD = ", ".join(f'{f}("{c}") AS "{n}_{c}"' for c in ("distinctKmers", "totalAbundance", "superKmers") for n, f in (("mean", "avg"), ("min", "min"), ("max", "max"), ("stddev", "stddev")))
+_LONG_STATS = " UNION ALL ".join(f"SELECT '{c}' AS statistic, \"{c}\" AS v FROM s" for c in minimizer.STATS)
 
 
-@query(
-    "stats_report",
-    f'SELECT count(*) AS bins, CAST(sum("distinctKmers") AS BIGINT) AS "distinct", CAST(sum("uniqueKmers") AS BIGINT) AS "unique", CAST(sum("totalAbundance") AS BIGINT) AS total, sum("totalAbundance") / sum("distinctKmers") AS mean_abundance, max("maxAbundance") AS max, CAST(sum("superKmers") AS BIGINT) AS super, sum("totalAbundance") / sum("superKmers") AS mean_length, {_SPREAD} FROM ({BUCKETS})',
-)
+@query("stats_report", f'WITH s AS ({BUCKETS}) SELECT statistic, count(*) AS bins, CAST(sum(v) AS BIGINT) AS total, avg(v) AS mean, CAST(min(v) AS BIGINT) AS least, CAST(max(v) AS BIGINT) AS most, stddev(v) AS spread FROM ({_LONG_STATS}) GROUP BY statistic')
 def stats_report(spark, d):
     return minimizer.stats_report(_stats(spark, d))
 
 
+_MORE = sql_kmers(KM, PART, "read_id")
+
+
+@query("merged_stats", f'SELECT minimizer, CAST(2 * "superKmers" AS BIGINT) AS "superKmers", CAST(2 * "totalAbundance" AS BIGINT) AS "totalAbundance", CAST(2 * "distinctKmers" AS BIGINT) AS "distinctKmers", CAST(2 * "uniqueKmers" AS BIGINT) AS "uniqueKmers", "maxAbundance" FROM ({BUCKETS})')
+def merged_stats(spark, d):
+    return minimizer.merge_stats(_stats(spark, d), _stats(spark, d))
+
+
+@query("equal_counts", f'SELECT minimizer, "uniqueKmers" = "distinctKmers" AND "maxAbundance" = 1 AS equal FROM ({BUCKETS})')
+def equal_counts(spark, d):
+    """A bin equals itself without the k-mers that repeat where none does."""
+    a = _stats(spark, d)
+    return minimizer.equal_counts(a, minimizer.bucket_stats(part_reads(spark, d), KM, Ordering(M), high=1))
+
+
+@query(
+    "motif_report",
+    f"""WITH c AS ({MOTIF_COUNTS}), t AS (SELECT 'top' AS "end", * FROM c ORDER BY count DESC, motif LIMIT 5), b AS (SELECT 'bottom' AS "end", * FROM c ORDER BY count, motif LIMIT 5)
+    SELECT "end", motif, count, count / (SELECT sum(count) FROM c) AS share FROM (SELECT * FROM t UNION ALL SELECT * FROM b)""",
+)
+def motif_report(spark, d):
+    return minimizer.motif_report(minimizer.frequency_table(part_reads(spark, d), minimizer.all_motifs(spark, M), M))
+
+
+_BINS = """SELECT minimizer, CAST(sum(count) AS BIGINT) AS "totalAbundance", count(*) AS "distinctKmers", CAST(sum(CASE WHEN count = 1 THEN 1 ELSE 0 END) AS BIGINT) AS "uniqueKmers", CAST(max(count) AS BIGINT) AS "maxAbundance" FROM ({0}) GROUP BY minimizer"""
+# the least m-mer of each k-mer under the order of reversed motifs
+_GIVEN_OF = f"SELECT kmer, count, reverse(list_min(list_transform(range(1, {K} - {M} + 2), i -> reverse(substr(kmer, CAST(i AS INT), {M}))))) AS minimizer FROM ({{0}})"
+
+
+@query("stored_index_bins", _BINS.format(_GIVEN_OF.format(IA)))
+def stored_index_bins(spark, d):
+    """An ordering by table goes with the stored index, whose bins are then known without reads."""
+    path = _scratch(spark)
+    index(spark, d).change_ordering(ordering(spark, d, "given")).repartition(4).write(path)
+    return KmerIndex.read(spark, path).bins()
+
+
+@query("reindexed_bins", _BINS.format(_GIVEN_OF.format(IA).replace("reverse(substr(kmer, CAST(i AS INT), 4))", "substr(kmer, CAST(i AS INT), 4)").replace("reverse(list_min", "(list_min")))
+def reindexed_bins(spark, d):
+    stored = index(spark, d).change_ordering(ordering(spark, d, "given"))
+    return stored.change_ordering(Ordering(M)).bins()
+
+
+@query("compatible_index", sql_union("sum", IA, IB))
+def compatible_index(spark, d):
+    """New reads, counted with the parameters and ordering of an index that is there, join it."""
+    a = index(spark, d).change_ordering(ordering(spark, d, "given"))
+    more = a.of_more_reads(table(spark, d, "orders").select(bases(F.col("o_custkey").cast("long") * 2).alias("seq")), pregroup=True)
+    return a.empty_like().union(a).union(more).df
+
+
+@query("minimizer_priority", sql_supermers("given"))
+def minimizer_priority(spark, d):
+    """The order of reversed motifs as a function instead of a table."""
+    return minimizer.supermers(part_reads(spark, d), KM, Ordering(M, "priority", priority=F.reverse))
+
+
+@query("minimizer_subset_lexicographic", sql_supermers("lexicographic"))
+def minimizer_subset(spark, d):
+    return minimizer.supermers(part_reads(spark, d), KM, minimizer.make_ordering(spark, "lexicographic", M, minimizer.all_motifs(spark, M)))
+
+
 # --- files -----------------------------------------------------------------------------------------
 
 
@@ -489,24 +547,27 @@ def fastq_roundtrip(spark, d):
     return sequences.read_sequences(spark, [path]).select("header", F.col("nucleotides").alias("seq"))
 
 
-FAI_LINES = 500
+#: Reads of one long sequence.
+FAI_LINES = 2000
 
 
-@query("fai_roundtrip", sql_count(K, f"SELECT string_agg(seq, '' ORDER BY read_id) AS seq FROM ({PART}) WHERE read_id <= {FAI_LINES}"))
+@query("fai_roundtrip", sql_count(K, f"SELECT string_agg(seq, '' ORDER BY read_id) AS seq FROM ({PART}) GROUP BY read_id // {FAI_LINES}"))
 def fai_roundtrip(spark, d):
+    """The whole part table as long sequences, each with a row of the index, the records in one partition each."""
     path = _scratch(spark) + ".fasta"
-    lines = part_reads(spark, d).where(F.col("read_id") <= FAI_LINES)
-    numbered = lines.select("read_id", F.col("seq").alias("value")).unionByName(spark.createDataFrame([(-1, ">chr1 long")], "read_id long, value string"))
-    numbered.coalesce(1).sortWithinPartitions("read_id").select("value").write.text(path)
-    n = lines.count()
-    spark.createDataFrame([(f"chr1\t{n * 32}\t11\t32\t33",)], "value string").coalesce(1).write.text(f"{path}.fai")
+    lines = part_reads(spark, d).withColumn("chr", F.floor(F.col("read_id") / FAI_LINES))
+    heads = lines.groupBy("chr").agg(F.count("*").alias("n"))
+    heads_out = heads.select("chr", F.lit(-1).cast("long").alias("read_id"), F.concat(F.lit(">chr"), "chr", F.lit(" long")).alias("value"))
+    lines.select("chr", "read_id", F.col("seq").alias("value")).unionByName(heads_out).repartition("chr").sortWithinPartitions("chr", "read_id").select("value").write.text(path)
+    # places in the file aren't needed, as lines are numbered by the reader
+    heads.select(F.concat(F.lit("chr"), "chr").alias("id"), F.col("n") * 32, F.lit(0), F.lit(32), F.lit(33)).coalesce(1).write.option("sep", "\t").csv(f"{path}.fai")
     return count_kmers(sequences.read_long_fasta(spark, path, K, lines_per_chunk=37).select(F.col("nucleotides").alias("seq")), K)
 
 
 @query("fasta_counts_roundtrip", f"SELECT kmer, count FROM ({IA})")
 def fasta_counts_roundtrip(spark, d):
     path = _scratch(spark)
-    sinks.write_fasta_counts(index(spark, d, A_WHERE).df, path)
+    sinks.write_fasta_counts(index(spark, d, A).df, path)
     back = sequences.read_fasta(spark, f"{path}_counts")
     return back.select(F.col("nucleotides").alias("kmer"), F.col("title").cast("int").alias("count"))
 
@@ -514,19 +575,71 @@ def fasta_counts_roundtrip(spark, d):
 @query("tsv_roundtrip", f"SELECT kmer, count FROM ({IA})")
 def tsv_roundtrip(spark, d):
     path = _scratch(spark)
-    sinks.write_tsv(index(spark, d, A_WHERE).df, path)
+    sinks.write_tsv(index(spark, d, A).df, path)
     return spark.read.schema("kmer string, count int").option("sep", "\t").csv(f"{path}_counts")
 
 
-def _stored(spark, d, where: str, buckets: int = 8) -> KmerIndex:
+def _stored(spark, d, source: tuple[str, str, int], buckets: int = 8) -> KmerIndex:
     path = _scratch(spark)
-    index(spark, d, where).repartition(buckets).write(path)
+    index(spark, d, source).repartition(buckets).write(path)
     return KmerIndex.read(spark, path)
 
 
+@query("counts_only_roundtrip", f"SELECT CAST(count AS VARCHAR) AS value, count(*) AS n FROM ({IA}) GROUP BY 1")
+def counts_only_roundtrip(spark, d):
+    path = _scratch(spark)
+    sinks.write_tsv(index(spark, d).df, path, with_kmers=False)
+    return spark.read.text(f"{path}_counts").groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query("histogram_roundtrip", f"SELECT count AS abundance, count(*) AS count FROM ({IA}) GROUP BY 1")
+def histogram_roundtrip(spark, d):
+    path = _scratch(spark)
+    sinks.write_histogram(index(spark, d).histogram(), path)
+    return spark.read.schema("abundance int, count long").option("sep", "\t").csv(f"{path}_counts")
+
+
+@query("bucket_stats_roundtrip", BUCKETS)
+def bucket_stats_roundtrip(spark, d):
+    path = _scratch(spark)
+    sinks.write_bucket_stats(_stats(spark, d), path)
+    return spark.read.schema("minimizer string, " + ", ".join(f"{c} long" for c in minimizer.STATS)).option("sep", "\t").csv(f"{path}_bucketStats")
+
+
+@query("supermers_roundtrip", f"SELECT minimizer, supermer FROM ({sql_supermers('signature')})")
+def supermers_roundtrip(spark, d):
+    path = _scratch(spark)
+    sinks.write_supermers(minimizer.supermers(part_reads(spark, d), KM, ordering(spark, d, "signature")), path)
+    return spark.read.schema("minimizer string, supermer string").option("sep", "\t").csv(f"{path}_superkmers")
+
+
+@query("frequencies_roundtrip", f"SELECT motif, row_number() OVER (ORDER BY coalesce(count, 0), motif) - 1 AS line FROM ({ALL_MOTIFS}) LEFT JOIN ({MOTIF_COUNTS}) USING (motif)")
+def frequencies_roundtrip(spark, d):
+    """A sampled ordering is written, found again as the best file of its folder, and read in file order."""
+    path = _scratch(spark)
+    sinks.write_frequencies(minimizer.frequency_table(part_reads(spark, d), minimizer.all_motifs(spark, M), M), f"{path}/a")
+    spark.read.text(f"{path}/a_minimizers_sample.txt").coalesce(1).write.text(f"{path}/minimizers_{KM}_{M}.txt")
+    return sequences.read_motifs(spark, sequences.best_motif_file(spark, path, K, M)).select("motif", "line")
+
+
+@query("mixed_files", f"SELECT CAST(read_id AS VARCHAR) AS header, seq FROM ({PART}) UNION ALL SELECT 'q' || read_id, seq FROM ({PART})")
+def mixed_files(spark, d):
+    """A FASTA and a FASTQ file, named in a list file."""
+    path, reads = _scratch(spark), part_reads(spark, d)
+    reads.select(F.concat(F.lit(">"), "read_id", F.lit("\n"), "seq").alias("value")).write.text(f"{path}.fasta")
+    reads.select(F.concat(F.lit("@q"), "read_id", F.lit("\n"), "seq", F.lit("\n+\n"), F.repeat(F.lit("I"), 32)).alias("value")).write.text(f"{path}.fastq")
+    spark.createDataFrame([(f"{path}.fasta",), (f"{path}.fastq",)], "value string").coalesce(1).write.text(f"{path}.list")
+    return sequences.read_sequences(spark, [f"@{path}.list"]).select("header", F.col("nucleotides").alias("seq"))
+
+
+@query("minimizer_shuffled_set", sql_supermers("shuffled"))
+def minimizer_shuffled_set(spark, d):
+    return minimizer.supermers(part_reads(spark, d), KM, minimizer.make_ordering(spark, "random", M, minimizer.all_motifs(spark, M), seed=MASK))
+
+
 @query("index_roundtrip", sql_union("sum", IA, IB))
 def index_roundtrip(spark, d):
-    return _stored(spark, d, A_WHERE).union(_stored(spark, d, B_WHERE)).df
+    return _stored(spark, d, A).union(_stored(spark, d, B)).df
 
 
 @query("reindex", sql_union("sum", IA, IB))
@@ -537,13 +650,12 @@ def reindex(spark, d):
 
 @query("repartition", IA)
 def repartition(spark, d):
-    return index(spark, d, A_WHERE).repartition(5).df
+    return index(spark, d, A).repartition(5).df
 
 
-@query("sample_hash", f"SELECT * FROM ({sql_index()}) WHERE substr(md5(kmer), 1, 1) < '4'")
+@query("sample_hash", f"SELECT * FROM ({sql_index()}) WHERE CAST('0x' || substr(md5(kmer), 1, 8) AS BIGINT) % 1000000 < 250000")
 def sample_hash(spark, d):
-    i = index(spark, d)
-    return i.df.where(F.substring(F.md5(F.col("kmer").cast("binary")), 1, 1) < "4")
+    return index(spark, d).sample_hash(0.25).df
 
 
 @query("sample_random", None)
@@ -551,9 +663,11 @@ def sample_random(spark, d):
     return index(spark, d).sample(0.25, seed=7).df
 
 
-@query("sampled_reads_index", None)
+@query("sampled_reads_index", f"SELECT kmer, {CAP.format('count(*)')} AS count FROM ({sql_kmers(K, PART)}) WHERE CAST('0x' || substr(md5(seq), 1, 8) AS BIGINT) % 1000000 < 500000 GROUP BY kmer".replace(f"FROM ({sql_kmers(K, PART)})", f"FROM ({sql_kmers(K, PART, 'seq')})"))
 def sampled_reads_index(spark, d):
-    return count_kmers(part_reads(spark, d).sample(0.5, seed=3), K)
+    from ..operators.index import fraction_of
+
+    return count_kmers(part_reads(spark, d).where(fraction_of(F.col("seq"), 0.5)), K)
 
 
 @query("udtf_kmers", sql_count(K, PART))

@@ -14,6 +14,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="strandlake-"))
     return _own[0]

@@ -32,16 +32,16 @@ def write_frequencies(table: DataFrame, out: str) -> None:
     table.select("rank", "motif", "count").coalesce(1).sortWithinPartitions("rank").select("motif", "count").write.mode("overwrite").csv(f"{out}_minimizers_sample.txt")
 
 
-def report(row) -> str:
-    """The statistics report of ``minimizer.stats_report`` as text."""
-    show = lambda v: "N/A" if v is None else f"{v:,.3f}" if isinstance(v, float) else f"{v:,}"
-    lines = [f"{name}\t{show(row[name])}" for name in ("bins", "distinct", "unique", "total", "mean_abundance", "max", "super", "mean_length")]
-    for c in ("distinctKmers", "totalAbundance", "superKmers"):
-        lines.append(f"{c} per bin\t" + ", ".join(f"{n} {show(row[f'{n}_{c}'])}" for n in ("mean", "min", "max", "stddev")))
-    return "\n".join(lines)
+def report(rows) -> str:
+    """The rows of ``minimizer.stats_report`` as text: a block for each statistic."""
+    show = lambda v: "none" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v)
+    blocks = []
+    for r in sorted(rows, key=lambda r: r["statistic"]):
+        blocks.append(f"[{r['statistic']}]\n" + "\n".join(f"{c} = {show(r[c])}" for c in ("bins", "total", "mean", "least", "most", "spread")))
+    return "\n".join(blocks)
 
 
-def write_report(stats_row, out: str, spark) -> str:
-    text = report(stats_row)
+def write_report(rows, out: str, spark) -> str:
+    text = report(rows)
     spark.createDataFrame([(x,) for x in text.split("\n")], "value string").coalesce(1).write.mode("overwrite").text(f"{out}_stats.txt")
     return text

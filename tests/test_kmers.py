@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strandlake import cli
 from strandlake.functions import dna
 from strandlake.operators import algebra, minimizer
-from strandlake.operators.index import KmerIndex, Params
+from strandlake.operators.index import KmerIndex, Kmers, Params
 from strandlake.operators.minimizer import Ordering
 from strandlake.operators.sequence import count_kmers, fragments
 from strandlake.sources import sequences
@@ -31,22 +31,57 @@ def counts(df):
 
 
 def test_toy_counts(spark):
-    df = reads(spark, ["AACTGGGTTG", "ACTGTTTTT"])
-    want = {"AACT": 1, "ACTG": 2, "CTGG": 1, "TGGG": 1, "CTGT": 1, "GGGT": 1, "GGTT": 1, "GTTG": 1, "TGTT": 1, "GTTT": 1, "TTTT": 2}
+    df = reads(spark, ["CATCATCAG", "GATCATT", "ACG"])
+    want = {"CATC": 2, "ATCA": 3, "TCAT": 2, "TCAG": 1, "GATC": 1, "CATT": 1}
     assert counts(count_kmers(df, 4)) == counts(count_kmers(df, 4, pregroup=True)) == want
-    assert counts(count_kmers(df, 4, forward_only=True)) == {"AACT": 1, "ACTG": 2}
+    assert counts(count_kmers(df, 4, forward_only=True)) == {k: n for k, n in want.items() if k < rc(k)}
     index = KmerIndex.of_reads(df, Params(4, 3))
-    assert counts(index.filter_min(2).df) == {"ACTG": 2, "TTTT": 2}
-    assert len(counts(index.filter_max(1).df)) == 9
+    assert counts(index.filter_min(2).df) == {"CATC": 2, "ATCA": 3, "TCAT": 2}
+    assert len(counts(index.filter_max(1).df)) == 3
     assert index.filter_counts(1, None).df is not None and counts(index.counted()) == want
 
 
 def test_toy_supermers(spark):
-    df = reads(spark, ["AATTTACTTTAGTTAC", "AAAA", ""])
-    got = minimizer.supermers(df, 5, Ordering(2)).orderBy("read_id", "start").collect()
-    assert [r.supermer for r in got] == ["AATTT", "ATTTA", "TTTACTTT", "CTTTA", "TTTAGTTA", "GTTAC"]
-    motifs = minimizer.motif_counts(reads(spark, ["ACTGTT", "TGGTTCCA"]), 3)
-    assert {r.motif for r in motifs.collect()} == set("ACT CTG TGT GTT TGG GGT GTT TTC TCC CCA".split())
+    # least 2-mers: AC of CACC and GACC, then CC, then CG
+    df = reads(spark, ["CACCG", "GACCCG", "AAAA", "", None])
+    got = minimizer.supermers(df, 4, Ordering(2)).orderBy("read_id", "start").collect()
+    assert [(r.read_id, r.minimizer, r.supermer) for r in got] == [(0, "AC", "CACCG"[:5]), (1, "AC", "GACCC"), (1, "CC", "CCCG"), (2, "AA", "AAAA")]
+    motifs = minimizer.motif_counts(reads(spark, ["GATTAC", "TTAGNTAGG"]), 3)
+    assert counts(motifs.withColumnRenamed("motif", "kmer")) == {"GAT": 1, "ATT": 1, "TTA": 2, "TAC": 1, "TAG": 2, "AGG": 1}
+
+
+def test_rows_that_are_alike_keep_their_own_supermers(spark):
+    df = spark.createDataFrame([(1, "CATCATCAGGATTACA")] * 2 + [(None, "CATCATCAGGATTACA")], "read_id long, seq string")
+    table = minimizer.all_motifs(spark, 3)
+    for by in (Ordering(3), minimizer.make_ordering(spark, "lexicographic", 3, table), minimizer.make_ordering(spark, "random", 3, table, seed=5)):
+        one = sorted(r.supermer for r in minimizer.supermers(df.limit(1), 6, by).collect())
+        assert sorted(r.supermer for r in minimizer.supermers(df, 6, by).collect()) == sorted(3 * one)
+
+
+def test_bounds_hold_for_sums(spark, tmp_path):
+    a, b = (write(tmp_path / f"{x}.fasta", ">r\nCATCAT\n") for x in "ab")
+    out = str(tmp_path / "both")
+    cli.run(spark, ["-k", "4", "-m", "2", "--ordering", "lexicographic", "store", a, "-o", f"{out}_a"])
+    cli.run(spark, ["-k", "4", "-m", "2", "count", "-i", f"{out}_a", b, "-o", out, "--tsv", "--min", "2"])
+    assert sorted(r[0] for r in spark.read.text(f"{out}_counts").collect()) == ["ATCA\t2", "CATC\t2", "TCAT\t2"]
+
+
+def test_orderings_are_kept_changed_and_taken_over(spark, tmp_path):
+    a = write(tmp_path / "a.fasta", ">r\nCATCATCAGGATTACA\n")
+    at = lambda x: str(tmp_path / x)
+    run = lambda *x: cli.run(spark, ["-p", "2", "--sample", "1", *x])
+    run("-k", "6", "-m", "3", "--ordering", "frequency", "store", a, "-o", at("A"))
+    first = KmerIndex.read(spark, at("A"))
+    assert first.params.ordering == "table" and first.motifs.count() == 64
+    run("reindex", "-i", at("A"), "-o", at("B"))
+    assert KmerIndex.read(spark, at("B")).params.ordering == "table"
+    run("-m", "3", "--ordering", "signature", "reindex", "-i", at("A"), "-o", at("C"), "--changeMinimizers")
+    assert KmerIndex.read(spark, at("C")).params.ordering == "signature"
+    run("reindex", "-i", at("A"), "-o", at("D"), "--compatible", at("C"))
+    assert KmerIndex.read(spark, at("D")).params.ordering == "signature"
+    assert "[totalAbundance]" in run("stats", "-i", at("A"))
+    whole = {r.minimizer: r.totalAbundance for r in Kmers.of_files(spark, [a], Params(6, 3), first.ordering).bins().collect()}
+    assert {r.minimizer: r.totalAbundance for r in first.bins().collect()} == whole
 
 
 @SLOW
@@ -166,7 +201,7 @@ def test_files_and_commands(spark, tmp_path):
         cli.run(spark, ["-k", "4", "-m", "2", "--ordering", "lexicographic", "count", fasta, "-o", str(tmp_path / more[0][2:]), *more])
     cli.run(spark, ["-k", "4", "-m", "2", "--sample", "1", "sample", fasta, "-o", out])
     assert spark.read.text(f"{out}_minimizers_sample.txt").count() == 16
-    cli.run(spark, ["-m", "3", "--ordering", "signature", "-p", "2", "reindex", "-i", a, "-o", str(tmp_path / "D")])
+    cli.run(spark, ["-m", "3", "--ordering", "signature", "-p", "2", "reindex", "-i", a, "-o", str(tmp_path / "D"), "--changeMinimizers"])
     assert counts(KmerIndex.read(spark, str(tmp_path / "D")).df) == counts(KmerIndex.read(spark, a).df)
 
 
