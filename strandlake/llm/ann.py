@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, spool
+from .common import arrow_batches, spool
 
 K = 20
 #: Distinct vectors of a shard on average: bounds a task's memory.
@@ -160,7 +160,7 @@ def level(data: np.ndarray) -> np.ndarray:
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD, beam: int = BEAM) -> DataFrame:
     """``query_id, rank, vec_id, score`` for ``queries(vec_id, embedding)`` among ``vectors(vec_id, embedding)``, each without its own row."""
     spark = vectors.sparkSession
-    arrow_rows(spark, 2000)
+    arrow_batches(spark)
     clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     rows, asked = clean(vectors), clean(queries)
     width = rows.groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").first()

@@ -7,7 +7,7 @@ again. Only words with a failing border are merged exactly.
 
 Defined results: null text is the empty text (no ids); an added token's string in the text
 becomes its id, as the tokenizers library does by default; texts of any length are encoded
-whole; rows with equal doc_id are separate rows.
+whole; rows with equal doc_id are separate rows; null doc_ids stay null.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import arrow_rows, text_or_empty
+from .common import arrow_batches, id_again, id_text, text_or_empty
 
 #: Words remembered by a worker; the memory is emptied when full (bounded, results unaffected).
 CACHE_WORDS = 600_000
@@ -283,7 +283,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = True
     need no file of their own. One narrow pass: no shuffle.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 500)
+    arrow_batches(spark)
     source = spark.sparkContext.broadcast(_load(tokenizer_path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -301,5 +301,5 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = True
                 out |= {"ids": [np.frombuffer(x, "<u4").astype(np.int64) for x in ids], "decoded": decoded}
             yield pd.DataFrame(out)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * with_ids
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(run, schema)
+    schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * with_ids
+    return id_again(docs.select(id_text(), text_or_empty().alias("text")).mapInPandas(run, schema))

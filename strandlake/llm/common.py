@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = sc.getConf().get("spark.checkpoint.dir")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not named and sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandlake-"))
         current = sc._jsc.sc().getCheckpointDir()
     return named or current.get()
@@ -48,12 +50,18 @@ def _delete(spark: SparkSession, path: str) -> None:
 _open: list[list[str]] = []
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A folder of that name for this run, below the shared one; deleted when the driver exits."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def spool(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back; deleted when the driver exits, or by ``scratch``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/spool-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "spool")
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
     if _open:
         _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -87,9 +95,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Bounds the rows of an Arrow batch, so that a worker never holds many long texts at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def arrow_batches(spark: SparkSession) -> None:
+    """Bounds the rows and bytes of an Arrow batch, so that a worker never holds many long texts at once.
+
+    Plans are run after they are made, so all operators ask for the same bounds.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def id_text(name: str = "doc_id") -> Column:
+    """A long id as text: pandas would turn longs with a null among them into doubles."""
+    return F.col(name).cast("long").cast("string").alias(name)
+
+
+def id_again(df: DataFrame, name: str = "doc_id") -> DataFrame:
+    return df.withColumn(name, F.col(name).cast("long"))
 
 
 def _width(df: DataFrame) -> Column:

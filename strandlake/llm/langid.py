@@ -8,7 +8,7 @@ is trained in numpy by backpropagation through time on a bounded sample of label
 
 Defined results: a null text or one without a letter is ``und`` with score 0; without any
 labelled row every text is ``und``; with one label every text with a letter gets it; texts
-are read whole; rows with equal doc_id are separate rows.
+are read whole; rows with equal doc_id are separate rows; null doc_ids stay null and aren't held out.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_batches, id_again, id_text
 
 #: Labelled rows that the model is fitted on at most, over all labels, and characters of each, from a place its hash picks.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 1000
@@ -219,15 +219,14 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
     if not labels:
         return None
     each = max(1, rows // len(labels))
-    texts, names = [], []
-    for lang in labels:
-        # rows of the smallest hashes: a bound that about three times as many pass keeps tasks from sending more
-        most = min(2**63 - 1, int(-(2**63) + 2**64 * 3 * each / counts[lang]))
-        sample = usable.where((F.col("lang") == lang) & (F.xxhash64("doc_id") <= most)).select(_slice(F.col("text"), F.xxhash64("doc_id")).alias("t"), F.xxhash64("doc_id").alias("h")).orderBy("h", "t").limit(each)
-        for r in sample.collect():
-            texts.append(r["t"].encode())
-            names.append(lang)
-    return train(texts, names) if texts else None
+    # rows of the smallest hashes: a bound that about three times as many pass keeps tasks from sending more
+    bounds = [(lang, min(2**63 - 1, int(-(2**63) + 2**64 * 3 * each / counts[lang]))) for lang in labels]
+    most = F.broadcast(docs.sparkSession.createDataFrame(bounds, "label string, most long"))
+    sample = usable.select("lang", "text", F.xxhash64("doc_id").alias("h")).join(most, F.col("lang") == F.col("label")).where("h <= most")
+    sample = sample.select("lang", _slice(F.col("text"), F.col("h")).alias("t"), "h")
+    first = sample.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("place") <= each)
+    got = sorted(first.collect(), key=lambda r: (labels.index(r["lang"]), r["place"]))
+    return train([r["t"].encode() for r in got], [r["lang"] for r in got]) if got else None
 
 
 def predict(model: Model | None, texts: pd.Series, lettered: pd.Series) -> pd.DataFrame:
@@ -248,19 +247,19 @@ def _lettered() -> Column:
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every row; one narrow pass."""
-    arrow_rows(docs.sparkSession, 1000)
+    arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.concat([pdf[["doc_id", "held_out"]], predict(model, pdf["text"], pdf["lettered"])], axis=1)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), _lettered().alias("lettered"), F.col("text"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(id_text(), held_out(F.col("doc_id")).alias("held_out"), _lettered().alias("lettered"), F.col("text"))
+    return id_again(rows.mapInPandas(run, "doc_id string, held_out boolean, lang_pred string, score double"))
 
 
 def keep_identified(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
     """The rows of ``docs`` with a language of a score of ``least`` or more; all columns as they are."""
-    arrow_rows(docs.sparkSession, 1000)
+    arrow_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double")
     def label(texts: pd.Series, lettered: pd.Series) -> pd.DataFrame:

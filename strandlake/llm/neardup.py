@@ -14,15 +14,14 @@ Defined results: null text is the empty text; texts without words have fingerpri
 link like any other; equal texts are one class; the class id is the smallest doc_id
 reachable; rows with equal doc_id are separate rows of the same document; no rows, no result.
 
-``similar_documents`` is the exact counterpart for the pipeline: documents whose sets of word
-shingles have a Jaccard similarity of at least ``least``, which no radius of fingerprints covers
-for certain. Two such sets of a similarity over two thirds, not equal and both in one order, have
-neighbours in common that stand side by side in both: ``D`` differences, ``n * (1 - least) / least``
-at most, part the common elements into ``D + 1`` runs, and a run of two begins after no more than
-``D`` differences and ``D`` single common elements. So the neighbours among the first ``2 * D + 2``
-are the join keys (a passage in common seldom gives one), and each pair that meets is verified
-on the whole sets (of 64-bit hashes). Sets are not kept but made again, which saves disk. Texts
-without words have the empty set and are alike.
+``similar_documents`` is the counterpart for the pipeline: documents whose sets of word shingles
+have a Jaccard similarity of at least ``least``, which no radius of fingerprints that can be
+searched covers. Two sets of that similarity have one of their smallest ``n - ceil(least * n) + 1``
+hashes in common, so those are the join keys, and each pair that meets is verified on the whole
+sets (of 64-bit hashes). Documents of a key that more than ``CROWD`` share are linked to a few hubs
+first; only pairs whose ends are then still in different classes are looked at. Sets are not kept
+but made again where they are needed, which saves disk. Texts without words have the empty set
+and are alike.
 """
 
 from __future__ import annotations
@@ -38,6 +37,8 @@ RADIUS = 2
 SEGMENTS = 5
 #: Fingerprints of one key above which links go through one-bit balls instead of pairs.
 CROWD = 32
+#: Rounds in which the documents of a crowded key are compared with one of them.
+HUBS = 3
 #: Votes of one partial sum; four 16-bit counters share a long.
 CHUNK = 32_000
 
@@ -159,43 +160,76 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     """``doc_id, hs, sid``: the sorted distinct shingle hashes of every row, and their hash."""
-    hashes = F.coalesce(F.array_sort(F.array_distinct(shingle_hashes(text_or_empty(), shingle))), F.array().cast("array<bigint>"))
+    hashes = F.coalesce(F.sort_array(F.array_distinct(shingle_hashes(text_or_empty(), shingle))), F.array().cast("array<bigint>"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashes.alias("hs")).withColumn("sid", F.xxhash64("hs"))
 
 
-def similar_pairs(docs: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
-    """All pairs ``u, v`` of different sets of ``docs`` of Jaccard similarity ``least`` or more; ``rows(doc_id, sid)`` are their names."""
-    if not 2 / 3 < least < 1:
-        raise ValueError("two neighbouring hashes are shared for certain only where the similarity is over two thirds")
+def _prefixes(docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """``doc_id, sid, n, keys`` of every row: the smallest hashes of its set, of which sets alike share one."""
     n = F.size("hs")
-    most = F.floor(n * ((1 - least) / least) + 1e-9).cast("int")
-    pairs_of = F.transform(F.sequence(F.lit(1), 2 * most + 1), lambda i: F.xxhash64(F.element_at("hs", i), F.element_at("hs", i + 1)))
-    keyed = _sets(docs, shingle).where(most > 0).select("sid", n.alias("n"), F.explode(pairs_of).alias("key"))
-    met = spool(keyed.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("key"))
-    shared = spool(keyed.join(small_side(met), "key", "left_semi").distinct())
-    a, b = (shared.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("sid", "n")]) for side in "uv")
-    enough = F.least("n_u", "n_v") + 1e-9 >= least * F.greatest("n_u", "n_v")
-    pairs = spool(a.join(b, "key").where("sid_u < sid_v").where(enough).select(F.col("sid_u").alias("u"), F.col("sid_v").alias("v")).distinct())
-    wanted = spool(pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct())
-    # one document, and those without a name, stand for each set
-    named = small_side(rows.join(small_side(wanted), "sid").groupBy("sid").agg(F.min("doc_id").alias("id")).where("id is not null").select("id").distinct())
-    some = docs.join(named, F.col("doc_id").cast("long") == F.col("id"), "left_semi").select("doc_id", "text").unionByName(docs.where("doc_id is null").select("doc_id", "text"))
-    whole = spool(_sets(some, shingle).join(small_side(wanted), "sid", "left_semi").dropDuplicates(["sid"]).select("sid", "hs"))
-    both = pairs.join(whole.select(F.col("sid").alias("u"), F.col("hs").alias("hu")), "u").join(whole.select(F.col("sid").alias("v"), F.col("hs").alias("hv")), "v")
+    size = (n - F.ceil(n * least - 1e-9) + 1).cast("int")
+    # smaller sets are alike only if they are equal
+    fits = F.floor(n * ((1 - least) / least) + 1e-9) > 0
+    return _sets(docs, shingle).select("doc_id", "sid", n.alias("n"), F.when(fits, F.slice("hs", F.lit(1), size)).alias("keys"))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs ``u, v`` whose sets have a Jaccard similarity of ``least`` or more."""
+    both = pairs.join(sets.select(F.col("sid").alias("u"), F.col("hs").alias("hu")), "u").join(sets.select(F.col("sid").alias("v"), F.col("hs").alias("hv")), "v")
     both = both.select("u", "v", F.size(F.array_intersect("hu", "hv")).alias("common"), (F.size("hu") + F.size("hv")).alias("sizes"))
     return both.where(F.col("common") + 1e-9 >= least * (F.col("sizes") - F.col("common"))).select("u", "v")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+def similar_links(docs: DataFrame, rows: DataFrame, shingle: int, least: float, crowd: int = CROWD) -> DataFrame:
+    """Links ``u, v`` that connect all different sets of ``docs`` of similarity ``least`` or more; ``rows`` are ``_prefixes`` of them, written."""
+    keyed = rows.where("keys is not null").select("sid", "n", F.explode("keys").alias("key"))
+    met = spool(keyed.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("times")).where("lo <> hi"))
+    shared = spool(keyed.join(small_side(met.where("times > 2").select("key")), "key", "left_semi").distinct())
+    # twice means once each
+    plain = spool(met.where("times = 2").select(F.col("lo").alias("u"), F.col("hi").alias("v")).distinct())
+    wanted = small_side(spool(shared.select("sid").unionAll(plain.select("u")).unionAll(plain.select("v")).distinct()))
+    # one document, and those without a name, stand for each set
+    some = rows.join(wanted, "sid", "left_semi")
+    named = small_side(spool(some.groupBy("sid").agg(F.min("doc_id").alias("id")).where("id is not null").select("id").distinct()))
+    texts = docs.join(named, F.col("doc_id").cast("long") == F.col("id"), "left_semi").select("doc_id", "text").unionByName(docs.where("doc_id is null").select("doc_id", "text"))
+    sets = spool(_sets(texts, shingle).join(wanted, "sid", "left_semi").dropDuplicates(["sid"]).select("sid", "hs"))
+    links = None
+    crowded = spool(shared.join(small_side(shared.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > crowd).select("key")), "key", "left_semi"))
+    members = shared.select("key", "sid", "n", F.col("sid").alias("root"))
+    if crowded.take(1):
+        for _ in range(HUBS):
+            # the hub of a group: the first member of its smallest class
+            if links is None:
+                now = crowded.withColumn("root", F.col("sid"))
+            else:
+                now = spool(crowded.join(components(links), F.col("sid") == F.col("u"), "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("root")))
+            hub = now.groupBy("key", "root").agg(F.count("*").alias("size"), F.min("sid").alias("sid")).groupBy("key").agg(F.min(F.struct("size", "sid"))["sid"].alias("hub"), F.count("*").alias("classes")).where("classes > 1")
+            hubs = spool(hub.join(crowded.select("key", F.col("sid").alias("hub"), F.col("n").alias("hn")), ["key", "hub"]))
+            tried = now.join(small_side(hubs), "key").where("sid <> hub").where(F.least("n", "hn") + 1e-9 >= least * F.greatest("n", "hn"))
+            tried = tried.select(F.least("sid", "hub").alias("u"), F.greatest("sid", "hub").alias("v")).distinct()
+            found = spool(_alike(tried, sets, least))
+            links = found if links is None else links.unionByName(found)
+        roots = components(links).select(F.col("u").alias("sid"), "root")
+        members = spool(shared.join(small_side(spool(roots)), "sid", "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("root")))
+    a, b = (members.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("sid", "n", "root")]) for side in "uv")
+    enough = F.least("n_u", "n_v") + 1e-9 >= least * F.greatest("n_u", "n_v")
+    pairs = a.join(b, "key").where("sid_u < sid_v and root_u <> root_v").where(enough).select(F.col("sid_u").alias("u"), F.col("sid_v").alias("v"))
+    out = _alike(spool(pairs.unionByName(plain).distinct()), sets, least)
+    return out if links is None else out.unionByName(links)
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, crowd: int = CROWD) -> DataFrame:
     """``doc_id, component_id`` of every row: documents of Jaccard similarity ``least`` or more, directly or in turn, are one class."""
+    if not 0.5 <= least < 1:
+        raise ValueError("the similarity must be 0.5 or more and below 1")
     with scratch(docs.sparkSession):
-        rows = spool(_sets(docs, shingle).select("doc_id", "sid"))
-        roots = components(similar_pairs(docs, rows, shingle, least))
+        rows = spool(_prefixes(docs, shingle, least))
+        roots = components(similar_links(docs, rows, shingle, least, crowd))
         sets = rows.groupBy("sid").agg(F.min("doc_id").alias("first"))
         labelled = sets.join(roots, sets.sid == roots.u, "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
         lowest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
         classes = labelled.join(lowest, "root").select("sid", "component_id")
-        return spool(rows.join(classes, "sid").select("doc_id", "component_id"))
+        return spool(rows.select("doc_id", "sid").join(classes, "sid").select("doc_id", "component_id"))
 
 
 def hex64(fp: Column) -> Column:

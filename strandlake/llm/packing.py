@@ -9,7 +9,7 @@ step, so the search ends, and emptied bins go.
 
 Defined results: null text is the empty text (its only id is the closing one); every
 document has at least one piece; rows with equal doc_id are packed as documents of their
-own; no rows, no result.
+own; null doc_ids stay null, each a document of its own; no rows, no result.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _L, _N, _S, ODD, Merges, _load, byte_alphabet
-from .common import arrow_rows, spool, text_or_empty
+from .common import arrow_batches, id_again, id_text, spool, text_or_empty
 
 CAPACITY = 2048
 #: Pieces of a shard on average: bounds a task's memory, whatever the input's size.
@@ -84,7 +84,7 @@ _loaded: dict[int, WordTokenizer] = {}
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids``) of all documents, each closed by id 0."""
     spark = docs.sparkSession
-    arrow_rows(spark, 1000)
+    arrow_batches(spark)
     source = spark.sparkContext.broadcast(_load(tokenizer_path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,11 +100,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
                     doc.append(i), piece.append(k), start.append(a // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
                     if with_ids:
                         ids.append(np.frombuffer(part, "<u4").astype(np.int64))
-            out = {"doc_id": pd.Series(doc, dtype="Int64"), "piece": piece, "start": start, "length": length, "ids_crc32": crc}
+            out = {"doc_id": pd.Series(doc, dtype=object), "piece": piece, "start": start, "length": length, "ids_crc32": crc}
             yield pd.DataFrame(out | ({"ids": ids} if with_ids else {}))
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(run, schema)
+    schema = "doc_id string, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
+    return id_again(docs.select(id_text(), text_or_empty().alias("text")).mapInPandas(run, schema))
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -164,6 +164,7 @@ class _Search:
         """The largest piece of ``a`` that has room in a bin at least as full goes to the one it fills best."""
         for i in sorted(self.bins[a], key=lambda i: -self.sizes[i]):
             at = bisect_left(self.rooms, (self.sizes[i], -1))
+            # the fullest bin with room, or the next one if that is the bin itself: emptier ones fill up less
             for _, b in self.rooms[at : at + 2]:
                 if b != a and self.fill[b] + self.sizes[i] > self.fill[a]:
                     self._shift(a, b, [i], [])
@@ -213,7 +214,7 @@ class _Search:
             while a in self.open and self.move(a):
                 moved = True
             if a in self.open:
-                for _, b in self.rooms[:64]:
+                for _, b in list(self.rooms):
                     if b != a and self.fill[b] >= self.fill[a] and a in self.open and self.exchange(a, b):
                         moved = True
                         break
@@ -248,4 +249,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
                 at += sizes[i]
         return pdf.drop(columns="shard").assign(sequence_id=(int(key[0]) << 32) + bin_of, offset=offset)
 
-    return dealt.groupBy("shard").applyInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
+    return id_again(dealt.groupBy("shard").applyInPandas(run, "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))

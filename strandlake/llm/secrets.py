@@ -3,7 +3,7 @@
 Every distinct text (blob) is known by its SHA-256. The ledger holds one entry for each
 (blob, rule, rule version) that has been scanned, with the spans found, none included. A
 run scans only what the ledger lacks and joins the findings back to every path that holds
-the blob. All of it is DataFrame functions: positions come from the lengths of the pieces
+the blob (``Ledger`` keeps both tables; a document's path is its doc_id). All of it is DataFrame functions: positions come from the lengths of the pieces
 between matches, so no Python runs on the executors.
 
 Defined results: null text is the empty text (no findings); equal texts are scanned once
@@ -15,10 +15,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_side, text_or_empty
+from .common import scratch_path, small_side, spool, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -127,15 +127,66 @@ def findings(entries: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return each.select("blob", spans.alias("found"))
 
 
-def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+class Ledger:
+    """A stored ledger: ``entries`` (blob, rule, version, spans) and ``paths`` (path, blob) as Parquet below ``root``.
+
+    ``record`` appends what is new: each version of a path (a version is the blob that the path
+    held), and an entry for every blob and rule version not scanned before. Both are written
+    by Spark's committed appends, so a run that breaks off leaves nothing behind and is
+    repeated; a run that is repeated scans nothing again. Paths may be null.
+    """
+
+    ENTRIES, PATHS = LEDGER_SCHEMA, "path long, blob string"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if there else self.spark.createDataFrame([], schema)
+
+    @property
+    def entries(self) -> DataFrame:
+        return self._table("entries", self.ENTRIES)
+
+    @property
+    def paths(self) -> DataFrame:
+        return self._table("paths", self.PATHS)
+
+    def record(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> None:
+        """Takes up the versions of ``docs(doc_id, text)`` and scans what is unseen of them."""
+        versions = docs.select(F.col("doc_id").cast("long").alias("path"), blob_of(text_or_empty()).alias("blob")).distinct()
+        old = self.paths
+        if old.take(1):
+            versions = versions.join(old.select(F.col("path").alias("old_path"), F.col("blob").alias("old_blob")), F.col("path").eqNullSafe(F.col("old_path")) & (F.col("blob") == F.col("old_blob")), "left_anti")
+        versions.write.mode("append").parquet(f"{self.root}/paths")
+        known = self.entries
+        scan_blobs(docs, known if known.take(1) else None, rules).write.mode("append").parquet(f"{self.root}/entries")
+
+    def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """``blob, found`` of every blob with a finding under the rules' versions."""
+        return findings(self.entries, rules)
+
+    def history(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """``path, blob, found``: findings joined back to every path that ever held the blob."""
+        return self.paths.join(small_side(spool(self.findings(rules))), "blob").select("path", "blob", "found")
+
+
+def _recorded(docs: DataFrame, ledger: Ledger | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """``blob, found`` from the ledger after it has taken up ``docs``; without one, from a new one."""
+    ledger = ledger or Ledger(docs.sparkSession, scratch_path(docs.sparkSession, "ledger"))
+    ledger.record(docs, rules)
+    return spool(ledger.findings(rules))
+
+
+def scan_documents(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Findings joined back to every row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, found``.
 
-    With a ledger from earlier runs, known blobs take their findings from it.
+    The rows are recorded in ``ledger`` first (a new one if none is given); blobs that it has
+    seen are not scanned again.
     """
-    entries = scan_blobs(docs, ledger, rules)
-    if ledger is not None:
-        entries = entries.unionByName(ledger.select("blob", "rule", "version", "spans"))
-    found = findings(entries, rules)
+    found = _recorded(docs, ledger, rules)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blob_of(text_or_empty()).alias("blob"))
     base = F.filter("found", lambda x: x["rank"] < len(BASE))
     count = lambda kind: F.coalesce(F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long"), F.lit(0).cast("long"))
@@ -147,7 +198,7 @@ def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rules: tupl
         _joined(F.col("found")).alias("spans"),
     )
     nothing = F.sha2(F.lit(""), 256)
-    return rows.join(digested, "blob", "left").select(
+    return rows.join(small_side(digested), "blob", "left").select(
         "doc_id",
         *[F.coalesce(F.col(f"n_{r.kind}"), F.lit(0).cast("long")).alias(f"n_{r.kind}") for r in BASE],
         F.coalesce("base_sha256", nothing).alias("base_sha256"),
@@ -172,15 +223,9 @@ def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(found) > 0, F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))).otherwise(text)
 
 
-def redact_documents(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact_documents(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with the same columns and rows, secrets in ``text`` replaced; ``n_chars`` follows the new text."""
-    entries = scan_blobs(docs, ledger, rules)
-    if ledger is not None:
-        entries = entries.unionByName(ledger.select("blob", "rule", "version", "spans"))
-    # blobs with findings are counted before they are broadcast; many of them are joined by shuffle
-    from .common import spool
-
-    found = small_side(spool(findings(entries, rules)).select(F.col("blob").alias("found_blob"), "found"))
+    found = small_side(_recorded(docs, ledger, rules).select(F.col("blob").alias("found_blob"), "found"))
     keyed = docs.withColumn("__blob", blob_of(text_or_empty()))
     joined = keyed.join(found, keyed["__blob"] == found["found_blob"], "left")
     text = F.when(F.col("found").isNotNull(), redact(F.col("text"), F.col("found"))).otherwise(F.col("text"))

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, spool, text_or_empty
+from .common import arrow_batches, spool, text_or_empty
 
 THRESHOLD = 400
 #: Bytes of an anchor: shorter ones meet by chance more often, longer ones come closer together.
@@ -162,7 +162,7 @@ def _intervals(owner: np.ndarray, start: np.ndarray, threshold: int) -> tuple[np
 def dedup_documents(docs: DataFrame, threshold: int = THRESHOLD, gram: int | None = None, crowd: int = CROWD, with_text: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``, what is left, binary) of every row."""
     gram = gram or max(1, threshold // 4)
-    arrow_rows(docs.sparkSession, 500)
+    arrow_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), text_or_empty().alias("text"))
     data = rows.select("doc_id", F.unhex(F.sha2("text", 256)).alias("blob"), F.encode("text", "UTF-8").alias("data"))
 

@@ -8,7 +8,8 @@ features of a row come from a lexicon that was learned without that row's fold.
 
 Defined results: null text is the empty text and gets a score too; without labelled rows,
 or with one label only, every score is that label's share (0 without rows); texts are read
-whole; rows with equal doc_id are separate rows.
+whole; rows with equal doc_id are separate rows; null doc_ids stay null and aren't held out;
+a single row of a label is learned from without folds.
 """
 
 from __future__ import annotations
@@ -20,15 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, text_or_empty
+from .common import arrow_batches, id_again, id_text, text_or_empty
 
 #: Labelled rows of each label that the model is fitted on at most.
 SAMPLE_ROWS = 2500
-#: Characters of a training text beyond which it isn't used for fitting (scores always read whole texts).
-SAMPLE_CHARS = 20_000
+#: Characters of all texts of a label that the model is fitted on at most; texts are taken whole.
+SAMPLE_CHARS = 20_000_000
 #: Second-person words of the languages at hand.
 YOU = frozenset("you your yours yourself ya u du dich dir dein deine ihr euch tu te toi vous ton ta tes tú ti usted ustedes vosotros tus".split())
 #: Signs that stand for letters in disguised words.
@@ -198,21 +199,24 @@ def fit(texts: list[str], toxic: list[int], share: float | None = None) -> Model
     share = y.mean() if share is None else share
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     sets = [set(_tokens(t)) for t in texts]
+    # every fold's other rows must hold both labels
+    folds = min(3, int(y.sum()), int((1 - y).sum()))
     fold = np.zeros(len(y), int)
     for label in (0, 1):  # folds that hold both labels alike
         at = np.flatnonzero(y == label)
-        fold[at] = np.arange(len(at)) % 3
+        fold[at] = np.arange(len(at)) % folds
     least = 2 if y.sum() < 100 else 3 if y.sum() < 1000 else 5
     x = np.zeros((len(y), len(NAMES)))
-    for k in range(3):
-        rest = fold != k
+    for k in range(folds):
+        rest = fold != k if folds > 1 else fold == k
         lex = learn_lexicon([s for s, r in zip(sets, rest, strict=True) if r], y[rest], least)
-        for i in np.flatnonzero(~rest):
+        for i in np.flatnonzero(fold == k):
             x[i] = features(texts[i], lex)
     # calibrated on margins of trees that have not seen the row
     margin = np.zeros(len(y))
-    for k in range(3):
-        margin[fold == k] = boost(x[fold != k], y[fold != k]).margin(x[fold == k])
+    for k in range(folds):
+        rest = fold != k if folds > 1 else fold == k
+        margin[fold == k] = boost(x[rest], y[rest]).margin(x[fold == k])
     return Model(learn_lexicon(sets, y, least), boost(x, y), isotonic(margin, y, weight))
 
 
@@ -226,25 +230,24 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     counts = {r[0]: r[1] for r in usable.groupBy("toxic").count().collect()}
     if not counts:
         return fit([], [])
-    texts, toxic = [], []
-    for label in sorted(counts):
-        # twice as many ids, for those that are copies or too long
-        ids = usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows).select(F.col("doc_id").alias("picked"))
-        found = docs.select("doc_id", text_or_empty().alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-        found = found.join(F.broadcast(ids), F.col("doc_id") == F.col("picked")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows)
-        distinct = list(dict.fromkeys(r["text"] for r in found.select("text").toLocalIterator()))[:rows]
-        texts += distinct
-        toxic += [label] * len(distinct)
-    return fit(texts, toxic, counts.get(1, 0) / sum(counts.values()))
+    by_hash = lambda *more: Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", *more)
+    # twice as many ids, for those that are copies
+    ids = usable.withColumn("place", F.row_number().over(by_hash())).where(F.col("place") <= 2 * rows).select(F.col("doc_id").alias("picked"), "toxic")
+    found = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("picked")).dropDuplicates(["toxic", "text"])
+    found = found.withColumn("place", F.row_number().over(by_hash("text"))).where(F.col("place") <= rows)
+    # one very long text can't crowd out the rest: each takes its place in the order while there is room
+    found = found.withColumn("chars", F.sum(F.length("text")).over(by_hash("text"))).where(F.col("chars") - F.length("text") <= SAMPLE_CHARS)
+    got = sorted(found.select("toxic", "place", "text").collect())
+    return fit([r["text"] for r in got], [r["toxic"] for r in got], counts.get(1, 0) / sum(counts.values()))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row; one narrow pass."""
-    arrow_rows(docs.sparkSession, 1000)
+    arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             score = model.score(pdf["text"].tolist())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held"], "score": score, "predicted": (score >= 0.5).astype(int)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held"), text_or_empty().alias("text")).mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return id_again(docs.select(id_text(), held_out(F.col("doc_id")).alias("held"), text_or_empty().alias("text")).mapInPandas(run, "doc_id string, held_out boolean, score double, predicted int"))

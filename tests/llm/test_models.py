@@ -104,6 +104,9 @@ def test_awkward_rows_of_toxicity(spark):
     marks = spark.createDataFrame([(1, 0), (2, 1), (3, None), (None, 1), (2, 1), (4, 0), (6, 1), (7, 0), (8, 0)], "doc_id long, toxic int")
     out = toxicity.score_documents(docs, toxicity.learn(docs, marks)).collect()
     assert len(out) == len(corpus()) and all(0 <= r.score <= 1 for r in out)
+    for few in ([(1, 0), (2, 1)], [(1, 0), (2, 1), (3, 0), (4, 1)], [(1, 0), (2, 0), (3, 0), (4, 1)]):
+        model = toxicity.learn(docs, spark.createDataFrame(few, "doc_id long, toxic int"))
+        assert all(0 <= r.score <= 1 for r in toxicity.score_documents(docs, model).collect())
     for some in (marks.where("toxic = 0"), marks.where("toxic > 5")):
         assert {r.score for r in toxicity.score_documents(docs, toxicity.learn(docs, some)).collect()} == {0.0}
     assert toxicity.score_documents(empty(spark), toxicity.learn(empty(spark), marks)).count() == 0

@@ -48,8 +48,24 @@ def test_only_unseen_blobs_and_versions_are_scanned(spark):
     assert new.count() == len(S.RULES)
     again = [S.Rule("assign", S.BASE[0].pattern, 2, 6, version=2), *S.RULES[1:]]
     assert S.scan_blobs(first, ledger, tuple(again)).select("rule").distinct().collect() == [("assign",)]
+
+
+def test_a_stored_ledger_scans_nothing_twice_and_keeps_old_versions(spark, tmp_path):
+    schema = "doc_id long, text string"
+    first = spark.createDataFrame([(1, TEXTS[0]), (2, TEXTS[1]), (None, TEXTS[1]), (3, None)], schema)
+    # the second run changes document 1 and repeats the rest
+    later = spark.createDataFrame([(1, TEXTS[3]), (2, TEXTS[1]), (None, TEXTS[1]), (3, None)], schema)
+    ledger = S.Ledger(spark, str(tmp_path / "ledger"))
+    S.scan_documents(first, ledger).collect()
+    assert (ledger.entries.count(), ledger.paths.count()) == (3 * len(S.RULES), 4)
+    again = {r.doc_id: r.spans for r in S.scan_documents(first, ledger).collect()}
+    assert (ledger.entries.count(), ledger.paths.count()) == (3 * len(S.RULES), 4)
+    assert again == {r.doc_id: r.spans for r in S.scan_documents(first).collect()}
     by_ledger = {r.doc_id: r.spans for r in S.scan_documents(later, ledger).collect()}
+    assert (ledger.entries.count(), ledger.paths.count()) == (4 * len(S.RULES), 5)
     assert by_ledger == {r.doc_id: r.spans for r in S.scan_documents(later).collect()}
+    # document 1's first version is not forgotten
+    assert ledger.history().where("path = 1").count() == 2
 
 
 def test_redaction_takes_out_every_span(spark):
