@@ -61,7 +61,7 @@ def spool(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back; deleted when the driver exits, or by ``scratch``."""
     spark = df.sparkSession
     path = scratch_path(spark, "spool")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if _open:
         _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
