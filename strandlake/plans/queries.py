@@ -479,7 +479,7 @@ def motif_report(spark, d):
 
 _BINS = """SELECT minimizer, CAST(sum(count) AS BIGINT) AS "totalAbundance", count(*) AS "distinctKmers", CAST(sum(CASE WHEN count = 1 THEN 1 ELSE 0 END) AS BIGINT) AS "uniqueKmers", CAST(max(count) AS BIGINT) AS "maxAbundance" FROM ({0}) GROUP BY minimizer"""
 # the least m-mer of each k-mer under the order of reversed motifs
-_GIVEN_OF = f"SELECT kmer, count, reverse(list_min(list_transform(range(1, {K} - {M} + 2), i -> reverse(substr(kmer, CAST(i AS INT), {M}))))) AS minimizer FROM ({{0}})"
+_GIVEN_OF = f"SELECT kmer, count, reverse(list_min(list_transform(range(1, {K} - {M} + 2), lambda i: reverse(substr(kmer, CAST(i AS INT), {M}))))) AS minimizer FROM ({{0}})"
 
 
 @query("stored_index_bins", _BINS.format(_GIVEN_OF.format(IA)))
