@@ -16,9 +16,13 @@ reachable; rows with equal doc_id are separate rows of the same document; no row
 
 ``similar_documents`` is the counterpart for the pipeline: documents whose sets of word shingles
 have a Jaccard similarity of at least ``least``, which no radius of fingerprints that can be
-searched covers. Two sets of that similarity have one of their smallest ``n - ceil(least * n) + 1``
-hashes in common, so those are the join keys, and each pair that meets is verified on the whole
-sets (of 64-bit hashes). Documents of a key that more than ``CROWD`` share are linked to a few hubs
+searched covers. Two such sets of a similarity over two thirds, not equal and both in one order,
+have neighbours in common that stand side by side in both: ``D`` differences, ``n * (1 - least) /
+least`` at most, part the common elements into ``D + 1`` runs, and a run of two begins after no
+more than ``D`` differences and ``D`` single common elements. So the neighbours among the first
+``2 * D + 2`` are the join keys (a passage in common seldom gives one). Of pairs that meet, those
+whose bitmaps already differ too much are left out, and the others are verified on the whole sets
+(of 64-bit hashes). Documents of a key that more than ``CROWD`` share are linked to a few hubs
 first; only pairs whose ends are then still in different classes are looked at. Sets are not kept
 but made again where they are needed, which saves disk. Texts without words have the empty set
 and are alike.
@@ -37,6 +41,8 @@ RADIUS = 2
 SEGMENTS = 5
 #: Fingerprints of one key above which links go through one-bit balls instead of pairs.
 CROWD = 32
+#: Longs of a set's bitmap.
+LANES = 16
 #: Rounds in which the documents of a crowded key are compared with one of them.
 HUBS = 3
 #: Votes of one partial sum; four 16-bit counters share a long.
@@ -164,24 +170,41 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashes.alias("hs")).withColumn("sid", F.xxhash64("hs"))
 
 
-def _prefixes(docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """``doc_id, sid, n, keys`` of every row: the smallest hashes of its set, of which sets alike share one."""
+def _neighbours(docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """``doc_id, sid, n, keys`` of every row: hashes of the neighbours of its set of which sets alike share one."""
     n = F.size("hs")
-    size = (n - F.ceil(n * least - 1e-9) + 1).cast("int")
     # smaller sets are alike only if they are equal
-    fits = F.floor(n * ((1 - least) / least) + 1e-9) > 0
-    return _sets(docs, shingle).select("doc_id", "sid", n.alias("n"), F.when(fits, F.slice("hs", F.lit(1), size)).alias("keys"))
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs ``u, v`` whose sets have a Jaccard similarity of ``least`` or more."""
-    both = pairs.join(sets.select(F.col("sid").alias("u"), F.col("hs").alias("hu")), "u").join(sets.select(F.col("sid").alias("v"), F.col("hs").alias("hv")), "v")
+    most = F.floor(n * ((1 - least) / least) + 1e-9).cast("int")
+    keys = F.when(most > 0, F.transform(F.sequence(F.lit(1), 2 * most + 1), lambda i: F.xxhash64(F.element_at("hs", i), F.element_at("hs", i + 1))))
+    return _sets(docs, shingle).select("doc_id", "sid", n.alias("n"), keys.alias("keys"))
+
+
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """``sid, n, b0, b1, ...``: for each set the bits of its hashes' places, ``64 * LANES`` of them."""
+    each = sets.select("sid", F.explode("hs").alias("h"))
+    bit = F.expr("shiftleft(1L, cast(shiftright(h, 8) & 63 AS int))")
+    lane = F.pmod(F.col("h"), F.lit(LANES))
+    return each.groupBy("sid").agg(F.count("*").alias("n"), *[F.bit_or(F.when(lane == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{j}") for j in range(LANES)])
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, bitmaps: DataFrame, least: float) -> DataFrame:
+    """The pairs ``u, v`` whose sets have a Jaccard similarity of ``least`` or more.
+
+    A bit that only one of two bitmaps has stands for at least one hash that the other set lacks,
+    so most pairs are turned down without their sets.
+    """
+    of = lambda side: bitmaps.select(*[F.col(c).alias(f"{c}_{side}") for c in bitmaps.columns])
+    near = pairs.join(of("u"), F.col("u") == F.col("sid_u")).join(of("v"), F.col("v") == F.col("sid_v"))
+    only = lambda a, b: sum((F.bit_count(F.col(f"b{j}_{a}").bitwiseAND(F.bitwise_not(f"b{j}_{b}"))) for j in range(LANES)), F.lit(0))
+    shared = F.least(F.col("n_u") - only("u", "v"), F.col("n_v") - only("v", "u"))
+    near = spool(near.where(shared * (1 + least) + 1e-6 >= least * (F.col("n_u") + F.col("n_v"))).select("u", "v"))
+    both = near.join(sets.select(F.col("sid").alias("u"), F.col("hs").alias("hu")), "u").join(sets.select(F.col("sid").alias("v"), F.col("hs").alias("hv")), "v")
     both = both.select("u", "v", F.size(F.array_intersect("hu", "hv")).alias("common"), (F.size("hu") + F.size("hv")).alias("sizes"))
     return both.where(F.col("common") + 1e-9 >= least * (F.col("sizes") - F.col("common"))).select("u", "v")
 
 
 def similar_links(docs: DataFrame, rows: DataFrame, shingle: int, least: float, crowd: int = CROWD) -> DataFrame:
-    """Links ``u, v`` that connect all different sets of ``docs`` of similarity ``least`` or more; ``rows`` are ``_prefixes`` of them, written."""
+    """Links ``u, v`` that connect all different sets of ``docs`` of similarity ``least`` or more; ``rows`` are ``_neighbours`` of them, written."""
     keyed = rows.where("keys is not null").select("sid", "n", F.explode("keys").alias("key"))
     met = spool(keyed.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("times")).where("lo <> hi"))
     shared = spool(keyed.join(small_side(met.where("times > 2").select("key")), "key", "left_semi").distinct())
@@ -193,6 +216,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, shingle: int, least: float,
     named = small_side(spool(some.groupBy("sid").agg(F.min("doc_id").alias("id")).where("id is not null").select("id").distinct()))
     texts = docs.join(named, F.col("doc_id").cast("long") == F.col("id"), "left_semi").select("doc_id", "text").unionByName(docs.where("doc_id is null").select("doc_id", "text"))
     sets = spool(_sets(texts, shingle).join(wanted, "sid", "left_semi").dropDuplicates(["sid"]).select("sid", "hs"))
+    bitmaps = spool(_bitmaps(sets))
     links = None
     crowded = spool(shared.join(small_side(shared.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > crowd).select("key")), "key", "left_semi"))
     members = shared.select("key", "sid", "n", F.col("sid").alias("root"))
@@ -207,23 +231,23 @@ def similar_links(docs: DataFrame, rows: DataFrame, shingle: int, least: float,
             hubs = spool(hub.join(crowded.select("key", F.col("sid").alias("hub"), F.col("n").alias("hn")), ["key", "hub"]))
             tried = now.join(small_side(hubs), "key").where("sid <> hub").where(F.least("n", "hn") + 1e-9 >= least * F.greatest("n", "hn"))
             tried = tried.select(F.least("sid", "hub").alias("u"), F.greatest("sid", "hub").alias("v")).distinct()
-            found = spool(_alike(tried, sets, least))
+            found = spool(_alike(tried, sets, bitmaps, least))
             links = found if links is None else links.unionByName(found)
         roots = components(links).select(F.col("u").alias("sid"), "root")
         members = spool(shared.join(small_side(spool(roots)), "sid", "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("root")))
     a, b = (members.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("sid", "n", "root")]) for side in "uv")
     enough = F.least("n_u", "n_v") + 1e-9 >= least * F.greatest("n_u", "n_v")
     pairs = a.join(b, "key").where("sid_u < sid_v and root_u <> root_v").where(enough).select(F.col("sid_u").alias("u"), F.col("sid_v").alias("v"))
-    out = _alike(spool(pairs.unionByName(plain).distinct()), sets, least)
+    out = _alike(spool(pairs.unionByName(plain).distinct()), sets, bitmaps, least)
     return out if links is None else out.unionByName(links)
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, crowd: int = CROWD) -> DataFrame:
     """``doc_id, component_id`` of every row: documents of Jaccard similarity ``least`` or more, directly or in turn, are one class."""
-    if not 0.5 <= least < 1:
-        raise ValueError("the similarity must be 0.5 or more and below 1")
+    if not 2 / 3 < least < 1:
+        raise ValueError("two neighbouring hashes are shared for certain only where the similarity is over two thirds")
     with scratch(docs.sparkSession):
-        rows = spool(_prefixes(docs, shingle, least))
+        rows = spool(_neighbours(docs, shingle, least))
         roots = components(similar_links(docs, rows, shingle, least, crowd))
         sets = rows.groupBy("sid").agg(F.min("doc_id").alias("first"))
         labelled = sets.join(roots, sets.sid == roots.u, "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
