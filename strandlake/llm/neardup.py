@@ -44,7 +44,7 @@ CROWD = 32
 #: Longs of a set's bitmap.
 LANES = 16
 #: Rounds in which the documents of a crowded key are compared with one of them.
-HUBS = 3
+HUBS = 4
 #: Votes of one partial sum; four 16-bit counters share a long.
 CHUNK = 32_000
 
@@ -187,17 +187,21 @@ def _bitmaps(sets: DataFrame) -> DataFrame:
     return each.groupBy("sid").agg(F.count("*").alias("n"), *[F.bit_or(F.when(lane == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{j}") for j in range(LANES)])
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, bitmaps: DataFrame, least: float) -> DataFrame:
-    """The pairs ``u, v`` whose sets have a Jaccard similarity of ``least`` or more.
+def _may_be_alike(least: float) -> Column:
+    """Whether the bitmaps of two rows (columns with ``_u`` and ``_v``) allow a similarity of ``least``.
 
-    A bit that only one of two bitmaps has stands for at least one hash that the other set lacks,
-    so most pairs are turned down without their sets.
+    A bit that only one of two bitmaps has stands for at least one hash that the other set lacks.
     """
-    of = lambda side: bitmaps.select(*[F.col(c).alias(f"{c}_{side}") for c in bitmaps.columns])
-    near = pairs.join(of("u"), F.col("u") == F.col("sid_u")).join(of("v"), F.col("v") == F.col("sid_v"))
     only = lambda a, b: sum((F.bit_count(F.col(f"b{j}_{a}").bitwiseAND(F.bitwise_not(f"b{j}_{b}"))) for j in range(LANES)), F.lit(0))
     shared = F.least(F.col("n_u") - only("u", "v"), F.col("n_v") - only("v", "u"))
-    near = spool(near.where(shared * (1 + least) + 1e-6 >= least * (F.col("n_u") + F.col("n_v"))).select("u", "v"))
+    return shared * (1 + least) + 1e-6 >= least * (F.col("n_u") + F.col("n_v"))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, bitmaps: DataFrame, least: float) -> DataFrame:
+    """The pairs ``u, v`` whose sets have a Jaccard similarity of ``least`` or more; most others are turned down without their sets."""
+    of = lambda side: bitmaps.select(*[F.col(c).alias(f"{c}_{side}") for c in bitmaps.columns])
+    near = pairs.join(of("u"), F.col("u") == F.col("sid_u")).join(of("v"), F.col("v") == F.col("sid_v"))
+    near = spool(near.where(_may_be_alike(least)).select("u", "v"))
     both = near.join(sets.select(F.col("sid").alias("u"), F.col("hs").alias("hu")), "u").join(sets.select(F.col("sid").alias("v"), F.col("hs").alias("hv")), "v")
     both = both.select("u", "v", F.size(F.array_intersect("hu", "hv")).alias("common"), (F.size("hu") + F.size("hv")).alias("sizes"))
     return both.where(F.col("common") + 1e-9 >= least * (F.col("sizes") - F.col("common"))).select("u", "v")
@@ -221,23 +225,29 @@ def similar_links(docs: DataFrame, rows: DataFrame, shingle: int, least: float,
     crowded = spool(shared.join(small_side(shared.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > crowd).select("key")), "key", "left_semi"))
     members = shared.select("key", "sid", "n", F.col("sid").alias("root"))
     if crowded.take(1):
+        # copies share many keys, and documents with a passage in common few: the former make better hubs
+        shares = crowded.groupBy("sid").agg(F.count("*").alias("shares"))
+        crowded = spool(crowded.drop("n").join(small_side(spool(shares)), "sid").join(small_side(bitmaps), "sid"))
         for _ in range(HUBS):
-            # the hub of a group: the first member of its smallest class
             if links is None:
                 now = crowded.withColumn("root", F.col("sid"))
             else:
-                now = spool(crowded.join(components(links), F.col("sid") == F.col("u"), "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("root")))
-            hub = now.groupBy("key", "root").agg(F.count("*").alias("size"), F.min("sid").alias("sid")).groupBy("key").agg(F.min(F.struct("size", "sid"))["sid"].alias("hub"), F.count("*").alias("classes")).where("classes > 1")
-            hubs = spool(hub.join(crowded.select("key", F.col("sid").alias("hub"), F.col("n").alias("hn")), ["key", "hub"]))
-            tried = now.join(small_side(hubs), "key").where("sid <> hub").where(F.least("n", "hn") + 1e-9 >= least * F.greatest("n", "hn"))
-            tried = tried.select(F.least("sid", "hub").alias("u"), F.greatest("sid", "hub").alias("v")).distinct()
+                now = spool(crowded.join(small_side(spool(components(links))), F.col("sid") == F.col("u"), "left").withColumn("root", F.coalesce("root", "sid")).drop("u"))
+            # the hub of a key: of the classes but the largest, the member with most keys
+            classes = now.groupBy("key", "root").agg(F.count("*").alias("size"), F.max(F.struct("shares", "sid")).alias("best"))
+            largest = classes.groupBy("key").agg(F.max(F.struct("size", "root"))["root"].alias("top"), F.count("*").alias("classes")).where("classes > 1")
+            hub = classes.join(small_side(spool(largest)), "key").where("root <> top").groupBy("key").agg(F.max("best")["sid"].alias("hub"))
+            hubs = small_side(spool(hub.join(bitmaps.withColumnRenamed("sid", "hub"), "hub").select("key", *[F.col(c).alias(f"{c}_v") for c in ("hub", *bitmaps.columns[1:])])))
+            tried = now.select("key", F.col("root").alias("root_u"), *[F.col(c).alias(f"{c}_u") for c in bitmaps.columns]).join(hubs, "key").where("sid_u <> hub_v").where(_may_be_alike(least))
+            tried = tried.select(F.least("sid_u", "hub_v").alias("u"), F.greatest("sid_u", "hub_v").alias("v")).distinct()
             found = spool(_alike(tried, sets, bitmaps, least))
             links = found if links is None else links.unionByName(found)
         roots = components(links).select(F.col("u").alias("sid"), "root")
         members = spool(shared.join(small_side(spool(roots)), "sid", "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("root")))
-    a, b = (members.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("sid", "n", "root")]) for side in "uv")
-    enough = F.least("n_u", "n_v") + 1e-9 >= least * F.greatest("n_u", "n_v")
-    pairs = a.join(b, "key").where("sid_u < sid_v and root_u <> root_v").where(enough).select(F.col("sid_u").alias("u"), F.col("sid_v").alias("v"))
+    # bitmaps go along, so that a pair that can't be alike isn't made
+    mapped = spool(members.drop("n").join(small_side(bitmaps), "sid"))
+    a, b = (mapped.select("key", *[F.col(c).alias(f"{c}_{side}") for c in mapped.columns if c != "key"]) for side in "uv")
+    pairs = a.join(b, "key").where("sid_u < sid_v and root_u <> root_v").where(_may_be_alike(least)).select(F.col("sid_u").alias("u"), F.col("sid_v").alias("v"))
     out = _alike(spool(pairs.unionByName(plain).distinct()), sets, bitmaps, least)
     return out if links is None else out.unionByName(links)
 
