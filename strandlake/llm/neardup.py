@@ -35,7 +35,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, scratch, small_side, spool, text_or_empty
+from .common import components, cut, kept_by, release, scratch, small_side, spool, text_or_empty
 
 RADIUS = 2
 SEGMENTS = 5
@@ -45,6 +45,8 @@ CROWD = 32
 LANES = 16
 #: Rounds in which the documents of a crowded key are compared with one of them.
 HUBS = 4
+#: Passes over the keys of sets, each over its share of them: what the shuffle of one holds on disk goes before the next.
+PASSES = 4
 #: Votes of one partial sum; four 16-bit counters share a long.
 CHUNK = 32_000
 
@@ -209,18 +211,26 @@ def _alike(pairs: DataFrame, sets: DataFrame, bitmaps: DataFrame, least: float)
 
 def similar_links(docs: DataFrame, rows: DataFrame, shingle: int, least: float, crowd: int = CROWD) -> DataFrame:
     """Links ``u, v`` that connect all different sets of ``docs`` of similarity ``least`` or more; ``rows`` are ``_neighbours`` of them, written."""
+    spark = docs.sparkSession
     keyed = rows.where("keys is not null").select("sid", "n", F.explode("keys").alias("key"))
-    met = spool(keyed.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("times")).where("lo <> hi"))
-    shared = spool(keyed.join(small_side(met.where("times > 2").select("key")), "key", "left_semi").distinct())
+    met = None
+    for i in range(PASSES):
+        some = keyed.where(F.pmod("key", F.lit(PASSES)) == i)
+        found = spool(some.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("times")).where("lo <> hi"))
+        met = found if met is None else met.unionByName(found)
+        release(spark)
+    shared = spool(kept_by(keyed, met.where("times > 2").select("key"), "key").distinct())
     # twice means once each
     plain = spool(met.where("times = 2").select(F.col("lo").alias("u"), F.col("hi").alias("v")).distinct())
-    wanted = small_side(spool(shared.select("sid").unionAll(plain.select("u")).unionAll(plain.select("v")).distinct()))
+    wanted = spool(shared.select("sid").unionAll(plain.select("u")).unionAll(plain.select("v")).distinct())
     # one document, and those without a name, stand for each set
-    some = rows.join(wanted, "sid", "left_semi")
-    named = small_side(spool(some.groupBy("sid").agg(F.min("doc_id").alias("id")).where("id is not null").select("id").distinct()))
-    texts = docs.join(named, F.col("doc_id").cast("long") == F.col("id"), "left_semi").select("doc_id", "text").unionByName(docs.where("doc_id is null").select("doc_id", "text"))
-    sets = spool(_sets(texts, shingle).join(wanted, "sid", "left_semi").dropDuplicates(["sid"]).select("sid", "hs"))
+    some = kept_by(rows.select("sid", "doc_id"), wanted, "sid")
+    named = spool(some.groupBy("sid").agg(F.min("doc_id").alias("id")).where("id is not null").select("id").distinct())
+    texts = kept_by(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text"), named, "id").withColumnRenamed("id", "doc_id")
+    texts = texts.unionByName(docs.where("doc_id is null").select(F.col("doc_id").cast("long"), "text"))
+    sets = spool(kept_by(_sets(texts, shingle), wanted, "sid").dropDuplicates(["sid"]).select("sid", "hs"))
     bitmaps = spool(_bitmaps(sets))
+    release(spark)
     links = None
     crowded = spool(shared.join(small_side(shared.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > crowd).select("key")), "key", "left_semi"))
     members = shared.select("key", "sid", "n", F.col("sid").alias("root"))
@@ -242,6 +252,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, shingle: int, least: float,
             tried = tried.select(F.least("sid_u", "hub_v").alias("u"), F.greatest("sid_u", "hub_v").alias("v")).distinct()
             found = spool(_alike(tried, sets, bitmaps, least))
             links = found if links is None else links.unionByName(found)
+            release(spark)
         roots = components(links).select(F.col("u").alias("sid"), "root")
         members = spool(shared.join(small_side(spool(roots)), "sid", "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("root")))
     # bitmaps go along, so that a pair that can't be alike isn't made
