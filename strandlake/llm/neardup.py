@@ -16,7 +16,9 @@ reachable; rows with equal doc_id are separate rows of the same document; no row
 
 ``similar_documents`` is the counterpart for the pipeline: documents whose sets of word shingles
 have a Jaccard similarity of at least ``least``, which no radius of fingerprints that can be
-searched covers. Two such sets of a similarity over two thirds, not equal and both in one order,
+searched covers. The SimHash classes, of five-word fingerprints within ``RADIUS`` bits, come first: each document
+is compared exactly with the first of its class. What they miss is found on the sets, leaving out
+pairs that are in one class by then. Two such sets of a similarity over two thirds, not equal and both in one order,
 have neighbours in common that stand side by side in both: ``D`` differences, ``n * (1 - least) /
 least`` at most, part the common elements into ``D + 1`` runs, and a run of two begins after no
 more than ``D`` differences and ``D`` single common elements. So the neighbours among the first
@@ -209,8 +211,11 @@ def _alike(pairs: DataFrame, sets: DataFrame, bitmaps: DataFrame, least: float)
     return both.where(F.col("common") + 1e-9 >= least * (F.col("sizes") - F.col("common"))).select("u", "v")
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, shingle: int, least: float, crowd: int = CROWD) -> DataFrame:
-    """Links ``u, v`` that connect all different sets of ``docs`` of similarity ``least`` or more; ``rows`` are ``_neighbours`` of them, written."""
+def similar_links(docs: DataFrame, rows: DataFrame, shingle: int, least: float, candidates: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Links ``u, v`` that connect all different sets of ``docs`` of similarity ``least`` or more.
+
+    ``rows`` are ``_neighbours`` of them, ``candidates`` the pairs ``u, v`` by fingerprints, both written.
+    """
     spark = docs.sparkSession
     keyed = rows.where("keys is not null").select("sid", "n", F.explode("keys").alias("key"))
     met = None
@@ -222,7 +227,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, shingle: int, least: float,
     shared = spool(kept_by(keyed, met.where("times > 2").select("key"), "key").distinct())
     # twice means once each
     plain = spool(met.where("times = 2").select(F.col("lo").alias("u"), F.col("hi").alias("v")).distinct())
-    wanted = spool(shared.select("sid").unionAll(plain.select("u")).unionAll(plain.select("v")).distinct())
+    wanted = spool(shared.select("sid").unionAll(plain.select("u")).unionAll(plain.select("v")).unionAll(candidates.select("u")).unionAll(candidates.select("v")).distinct())
     # one document, and those without a name, stand for each set
     some = kept_by(rows.select("sid", "doc_id"), wanted, "sid")
     named = spool(some.groupBy("sid").agg(F.min("doc_id").alias("id")).where("id is not null").select("id").distinct())
@@ -231,18 +236,14 @@ def similar_links(docs: DataFrame, rows: DataFrame, shingle: int, least: float,
     sets = spool(kept_by(_sets(texts, shingle), wanted, "sid").dropDuplicates(["sid"]).select("sid", "hs"))
     bitmaps = spool(_bitmaps(sets))
     release(spark)
-    links = None
+    links = spool(_alike(candidates, sets, bitmaps, least))
     crowded = spool(shared.join(small_side(shared.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > crowd).select("key")), "key", "left_semi"))
-    members = shared.select("key", "sid", "n", F.col("sid").alias("root"))
     if crowded.take(1):
         # copies share many keys, and documents with a passage in common few: the former make better hubs
         shares = crowded.groupBy("sid").agg(F.count("*").alias("shares"))
         crowded = spool(crowded.drop("n").join(small_side(spool(shares)), "sid").join(small_side(bitmaps), "sid"))
         for _ in range(HUBS):
-            if links is None:
-                now = crowded.withColumn("root", F.col("sid"))
-            else:
-                now = spool(crowded.join(small_side(spool(components(links))), F.col("sid") == F.col("u"), "left").withColumn("root", F.coalesce("root", "sid")).drop("u"))
+            now = spool(crowded.join(small_side(spool(components(links))), F.col("sid") == F.col("u"), "left").withColumn("root", F.coalesce("root", "sid")).drop("u"))
             # the hub of a key: of the classes but the largest, the member with most keys
             classes = now.groupBy("key", "root").agg(F.count("*").alias("size"), F.max(F.struct("shares", "sid")).alias("best"))
             largest = classes.groupBy("key").agg(F.max(F.struct("size", "root"))["root"].alias("top"), F.count("*").alias("classes")).where("classes > 1")
@@ -251,16 +252,24 @@ def similar_links(docs: DataFrame, rows: DataFrame, shingle: int, least: float,
             tried = now.select("key", F.col("root").alias("root_u"), *[F.col(c).alias(f"{c}_u") for c in bitmaps.columns]).join(hubs, "key").where("sid_u <> hub_v").where(_may_be_alike(least))
             tried = tried.select(F.least("sid_u", "hub_v").alias("u"), F.greatest("sid_u", "hub_v").alias("v")).distinct()
             found = spool(_alike(tried, sets, bitmaps, least))
-            links = found if links is None else links.unionByName(found)
+            links = links.unionByName(found)
             release(spark)
-        roots = components(links).select(F.col("u").alias("sid"), "root")
-        members = spool(shared.join(small_side(spool(roots)), "sid", "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("root")))
+    roots = components(links).select(F.col("u").alias("sid"), "root")
+    members = spool(shared.join(small_side(spool(roots)), "sid", "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("root")))
     # bitmaps go along, so that a pair that can't be alike isn't made
     mapped = spool(members.drop("n").join(small_side(bitmaps), "sid"))
     a, b = (mapped.select("key", *[F.col(c).alias(f"{c}_{side}") for c in mapped.columns if c != "key"]) for side in "uv")
     pairs = a.join(b, "key").where("sid_u < sid_v and root_u <> root_v").where(_may_be_alike(least)).select(F.col("sid_u").alias("u"), F.col("sid_v").alias("v"))
     out = _alike(spool(pairs.unionByName(plain).distinct()), sets, bitmaps, least)
-    return out if links is None else out.unionByName(links)
+    return out.unionByName(links)
+
+
+def _candidates(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """Pairs ``u, v`` of different sets: of each SimHash class every document and the first."""
+    found = near_duplicates(docs, shingle).where("doc_id <> component_id").select("doc_id", "component_id").distinct()
+    ids = spool(rows.select("doc_id", "sid").distinct())
+    pairs = found.join(ids.withColumnRenamed("sid", "a"), "doc_id").join(ids.select(F.col("doc_id").alias("component_id"), F.col("sid").alias("b")), "component_id")
+    return spool(pairs.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, crowd: int = CROWD) -> DataFrame:
@@ -269,7 +278,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, cro
         raise ValueError("two neighbouring hashes are shared for certain only where the similarity is over two thirds")
     with scratch(docs.sparkSession):
         rows = spool(_neighbours(docs, shingle, least))
-        roots = components(similar_links(docs, rows, shingle, least, crowd))
+        roots = components(similar_links(docs, rows, shingle, least, _candidates(docs, rows, shingle), crowd))
         sets = rows.groupBy("sid").agg(F.min("doc_id").alias("first"))
         labelled = sets.join(roots, sets.sid == roots.u, "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
         lowest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
