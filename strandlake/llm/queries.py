@@ -79,6 +79,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import digests, find_runs, loop_tails
+
+    return digests(find_runs(loop_tails(documents(spark, sf_dir))))
+
+
+def op12_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tiers import pack_tiers
+
+    return pack_tiers(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
