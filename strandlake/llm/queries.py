@@ -91,6 +91,12 @@ def op12_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tiers(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clustering import digests, lloyd
+
+    return digests(lloyd(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -126,6 +132,24 @@ def _repeats_sql(width: int = 400) -> str:
     SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, CAST(2 * coalesce(fin, 0) + 1 AS INT)))) AS kept_sha256 FROM d LEFT JOIN y USING (r)"""
 
 
+def _clusters_sql(k: int = 16, dims: int = 64, rounds: int = 3) -> str:
+    """Components as rows; each round's nearest centroid by the least of distance and number in one integer."""
+    out = [
+        f"""k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, v FROM (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+        WHERE len(embedding) = {dims} AND len([x FOR x IN embedding IF isfinite(x)]) = {dims}))""",
+        f"p AS MATERIALIZED (SELECT r, unnest(range({dims})) AS j, unnest(v) AS x FROM k)",
+        f"c0 AS MATERIALIZED (SELECT c, unnest(range({dims})) AS j, unnest(v) AS y FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM k WHERE vec_id IS NOT NULL) WHERE c < {k})",
+    ]
+    for t in range(rounds + 1):
+        out.append(f"a{t} AS MATERIALIZED (SELECT r, min(d * {k} + c) AS m FROM (SELECT r, c, CAST(sum((x - y) * (x - y)) AS BIGINT) AS d FROM p JOIN c{t} USING (j) GROUP BY r, c) GROUP BY r)")
+        if t < rounds:
+            means = f"SELECT m % {k} AS c, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM a{t} JOIN p USING (r) GROUP BY 1, 2"
+            out.append(f"c{t + 1} AS MATERIALIZED (SELECT c, j, coalesce((s - ((s % n + n) % n)) // n, y) AS y FROM c{t} LEFT JOIN ({means}) USING (c, j))")
+    return f"""WITH {", ".join(out)}, f AS (SELECT vec_id, CAST(m % {k} AS INTEGER) AS cluster, m // {k} AS distance FROM a{rounds} JOIN k USING (r)),
+    h AS (SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY j)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+    SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM f JOIN h ON c = cluster"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL has no XXH64, models or tokenizers and measures edits in bytes: the other queries have brute-force twins in the tests."""
-    return {"op8_suffix_array_dedup": _repeats_sql(), "op9_secret_scan": _secrets_sql()}
+    return {"op8_suffix_array_dedup": _repeats_sql(), "op9_secret_scan": _secrets_sql(), "op13_centroid_clustering": _clusters_sql()}
