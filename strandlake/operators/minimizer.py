@@ -1,9 +1,10 @@
 """Minimizer orderings, super-mers and bin statistics.
 
-A k-mer's minimizer is its m-mer of least rank, the leftmost of equals. Orderings that are a
-formula of the m-mer are computed within the row; orderings by a table join it to the m-mers.
-Super-mers are formed within each read, without a shuffle, as the leftmost least place never
-moves back along a read.
+A k-mer's minimizer is its m-mer of least rank, the leftmost of equals. Super-mers are formed within
+each read, without a shuffle, as the leftmost least place never moves back along a read: in
+Arrow batches (``packed``), where ranks are a formula of the m-mer's code or looked up by it. A
+priority, which is any column function, is computed in the row by Spark; a table of more than
+``TABLE_MOTIFS`` motifs is joined to the m-mers.
 
 Defined results: null and too short sequences give nothing; rows that are alike in key and
 sequence are reads of their own, each with all its super-mers; ties of rank go to the left.
@@ -11,21 +12,22 @@ sequence are reads of their own, each with all its super-mers; ties of rank go t
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dna import decode, encode
+from . import packed
+from .numbering import numbered
 from .sequence import LARGE_BUCKET, fragments, kmers
 
-#: Rows up to which a table of motifs is broadcast (after a count).
-BROADCAST_MOTIFS = 2_000_000
-
-
-#: Length of motifs up to which a frequency table numbers its ranks from 0 without gaps.
-RANKED_M = 10
+#: Motifs up to which a table's ranks go to every task, as a vector by code up to ``DENSE_M`` bases: 8 MB.
+TABLE_MOTIFS, DENSE_M = 1 << 20, 10
 
 
 @dataclass(frozen=True)
@@ -40,6 +42,7 @@ class Ordering:
     mask: int = 0
     table: DataFrame | None = field(default=None, compare=False)
     priority: Callable[[Column], Column] | None = field(default=None, compare=False)
+    _ranks: list = field(default_factory=list, compare=False, repr=False)
 
     def __post_init__(self):
         most = 15 if self.kind == "table" else 31
@@ -62,6 +65,27 @@ class Ordering:
             return F.struct(encode(mmer).bitwiseXOR(F.lit(self.mask)).alias("r"))
         raise ValueError(f"no such ordering: {self.kind}")
 
+    def packed(self) -> packed.Ranks | None:
+        """Ranks by code, for tasks; None for a priority and for tables of more than ``TABLE_MOTIFS``. A table is read once."""
+        if self.kind == "priority":
+            return None
+        if not self._ranks:
+            self._ranks.append(self._table_ranks() if self.table is not None else packed.Ranks(self.m, self.kind, self.mask))
+        return self._ranks[0]
+
+    def _table_ranks(self) -> packed.Ranks | None:
+        rows = self.table.where(F.length("motif") == self.m).select(encode("motif").alias("code"), "rank").limit(TABLE_MOTIFS + 1).toArrow()
+        if len(rows) > TABLE_MOTIFS:
+            return None
+        code, given = rows["code"].to_numpy(), rows["rank"].to_numpy()
+        rank = np.unique(given, return_inverse=True)[1].ravel().astype(np.int64)
+        if self.m <= DENSE_M:
+            dense = np.full(4**self.m, -1, np.int64)
+            dense[code] = rank
+            return packed.Ranks(self.m, "table", ranks=dense)
+        order = np.argsort(code)
+        return packed.Ranks(self.m, "table", codes=code[order], ranks=rank[order])
+
 
 def is_low(mmer: Column) -> Column:
     """Signature ordering: the first AA is past the start, or the motif starts with AAA or ACA."""
@@ -91,19 +115,15 @@ def motif_counts(reads: DataFrame, m: int, motifs: DataFrame | None = None, seq:
 
 
 def frequency_table(reads: DataFrame, motifs: DataFrame, m: int, fraction: float = 1.0, seed: int = 0, seq: str = "seq") -> DataFrame:
-    """``motif, rank, count, large``: rare motifs first, then by prior rank; unseen ones count 0."""
+    """``motif, rank, count, large``: rare motifs first, then by prior rank; unseen ones count 0. Ranks are dense from 0 for every m."""
     if not 0 < fraction <= 1:
         raise ValueError("the fraction must be above 0 and at most 1")
     if not 1 <= m <= 15:
         raise ValueError("m must be from 1 to 15")
     sampled = reads if fraction == 1 else reads.sample(fraction, seed)
     counted = motifs.join(motif_counts(sampled, m, None, seq), "motif", "left").select("motif", F.col("rank").alias("prior"), F.coalesce("count", F.lit(0)).cast("long").alias("count"))
-    if m <= RANKED_M:
-        rank = F.row_number().over(Window.orderBy("count", "prior")) - 1
-    else:
-        # too many motifs for one task: a number that orders them alike
-        rank = F.col("count").cast("decimal(28,0)") * F.lit(4**m) + F.col("prior")
-    return counted.select("motif", (rank.cast("long") if m <= RANKED_M else rank).alias("rank"), "count", (F.col("count") / fraction >= LARGE_BUCKET).alias("large"))
+    placed = numbered(counted, [F.col("count"), F.col("prior")], "rank")
+    return placed.select("motif", "rank", "count", (F.col("count") / fraction >= LARGE_BUCKET).alias("large"))
 
 
 def shuffled(motifs: DataFrame, seed: int) -> DataFrame:
@@ -119,28 +139,32 @@ def _ranked(reads: DataFrame, ordering: Ordering, seq: str, key: str) -> DataFra
     if ordering.kind != "table":
         mm = F.transform(places, lambda j: F.struct(ordering.rank(F.substring(F.col(seq), j, F.lit(m))).alias("rank"), j.alias("p")))
         return long.select(key, seq, mm.alias("mm"))
-    table = ordering.table.select("motif", "rank")
-    if table.limit(BROADCAST_MOTIFS + 1).count() <= BROADCAST_MOTIFS:
-        table = F.broadcast(table)
     # numbered first, so that rows that are alike stay apart
     rows = long.select(key, seq, F.monotonically_increasing_id().alias("__row"))
     each = rows.select("__row", key, seq, F.explode(places).alias("p")).withColumn("motif", F.substring(F.col(seq), F.col("p"), F.lit(m)))
-    joined = each.join(table, "motif", "left")
+    joined = each.join(ordering.table.select("motif", "rank"), "motif", "left")
     # m-mers outside the set rank after all others; whether one is chosen is checked by the caller
     return joined.groupBy("__row", key, seq).agg(F.array_sort(F.collect_list(F.struct("p", F.struct(F.col("rank").isNull().alias("out"), "rank").alias("rank")))).alias("ps")).select(
         key, seq, F.transform("ps", lambda x: F.struct(x["rank"].alias("rank"), x["p"].alias("p"))).alias("mm")
     )
 
 
-def supermers(reads: DataFrame, k: int, ordering: Ordering, seq: str = "seq", key: str = "read_id", strict: bool = True) -> DataFrame:
-    """``key, minimizer, minimizer_start, start, supermer`` (places from 0) of reads with valid bases only.
+def _window_least(mm: str, width: int) -> Column:
+    """The least of every ``width`` consecutive entries: stretches of 1, 2, 4, ... are put together, so each entry is looked at once for each doubling."""
 
-    A super-mer is a maximal run of k-mers with the same minimizer occurrence. strict: a k-mer
-    without any m-mer of the table is an error; else its k-mers are left out.
-    """
-    check(k, ordering.m)
+    def overlaid(column: Column, shift: int) -> Column:
+        # both sides are cut to the places that have a partner
+        return F.transform(F.array(column), lambda a: F.zip_with(F.slice(a, F.lit(1), F.size(a) - shift), F.slice(a, F.lit(shift + 1), F.size(a) - shift), lambda x, y: F.least(x, y)))[0]
+
+    out, span = F.col(mm), 1
+    while 2 * span <= width:
+        out, span = overlaid(out, span), 2 * span
+    return overlaid(out, width - span) if span < width else out
+
+
+def _supermers_in_columns(reads: DataFrame, k: int, ordering: Ordering, seq: str, key: str, strict: bool) -> DataFrame:
     ranked = _ranked(reads.where(F.length(seq) >= k), ordering, seq, key)
-    least = F.transform(F.sequence(F.lit(1), F.length(seq) - (k - 1)), lambda i: F.array_min(F.slice("mm", i, F.lit(k - ordering.m + 1))))
+    least = _window_least("mm", k - ordering.m + 1)
     # one entry per run: the place of the minimizer, where the run starts and how many k-mers it has
     starts = lambda mins: F.filter(F.sequence(F.lit(1), F.size(mins)), lambda i: (i == 1) | (F.element_at(mins, i)["p"] != F.element_at(mins, F.greatest(i - 1, F.lit(1)))["p"]))
 
@@ -171,6 +195,41 @@ def supermers(reads: DataFrame, k: int, ordering: Ordering, seq: str = "seq", ke
     )
 
 
+def supermers(reads: DataFrame, k: int, ordering: Ordering, seq: str = "seq", key: str = "read_id", strict: bool = True) -> DataFrame:
+    """``key, minimizer, minimizer_start, start, supermer`` (places from 0) of reads with valid bases only.
+
+    A super-mer is a maximal run of k-mers with the same minimizer occurrence. strict: a k-mer
+    without any m-mer of the table is an error; else its k-mers are left out.
+    """
+    check(k, ordering.m)
+    ranks = ordering.packed()
+    if ranks is None:
+        return _supermers_in_columns(reads, k, ordering, seq, key, strict)
+    long = reads.where(F.length(seq) >= k).select(key, seq)
+    known, m = reads.sparkSession.sparkContext.broadcast(ranks), ordering.m
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for b in batches for part in packed.slices(b, 1)):
+            code, length = packed.bases_of(batch.column(1))
+            s = packed.cut(code, length, k, known.value)
+            keep = packed.checked(s.outside, strict)
+            read, place, motif, n = s.read[keep], s.place[keep], s.motif[keep], s.n[keep]
+            head = (np.cumsum(length) - length)[read]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(read)),
+                    packed.strings(code, motif, np.full(len(motif), m)),
+                    pa.array((motif - head).astype(np.int32)),
+                    pa.array((place - head).astype(np.int32)),
+                    packed.strings(code, place, n + k - 1),
+                ],
+                [key, "minimizer", "minimizer_start", "start", "supermer"],
+            )
+
+    fields = [T.StructField(key, long.schema[0].dataType)] + [T.StructField(c, t) for c, t in (("minimizer", T.StringType()), ("minimizer_start", T.IntegerType()), ("start", T.IntegerType()), ("supermer", T.StringType()))]
+    return long.mapInArrow(run, T.StructType(fields))
+
+
 def supermers_located(reads: DataFrame, k: int, ordering: Ordering, titles: DataFrame, seq: str = "seq", key: str = "read_id", header: str = "header", location: str = "location") -> DataFrame:
     """Super-mers with the sequence id of ``titles(title, seq_id)`` and the absolute 1-based place."""
     where = reads.select(key, F.col(header).alias("title"), location).join(titles, "title")

@@ -19,8 +19,9 @@ from ..functions.dna import is_forward, reverse_complement
 from ..operators import minimizer
 from ..operators.index import KmerIndex, Params
 from ..operators.minimizer import Ordering
+from ..operators.numbering import numbered
 from ..operators.sequence import count_kmers, fragments, kmers, titles, with_reverse_complements
-from ..session import shared_dir
+from ..session import scratch_path
 from ..sources import sequences, sinks
 
 HEX = "0123456789abcdef"
@@ -372,11 +373,8 @@ def ordering(spark, d, kind: str) -> Ordering:
     if kind == "random_xor":
         return Ordering(M, "random", MASK)
     if kind == "given":
-        motifs = minimizer.all_motifs(spark, M)
-        from pyspark.sql import Window
-
-        line = F.row_number().over(Window.orderBy(F.reverse("motif"))) - 1
-        return Ordering(M, "table", table=minimizer.given(motifs.select("motif", line.alias("line"))))
+        motifs = minimizer.all_motifs(spark, M).select("motif")
+        return Ordering(M, "table", table=minimizer.given(numbered(motifs, [F.reverse("motif")], "line")))
     if kind == "frequency":
         return Ordering(M, "table", table=minimizer.frequency_table(part_reads(spark, d), minimizer.all_motifs(spark, M), M))
     return Ordering(M, kind)
@@ -402,11 +400,9 @@ def supermers(spark, d):
     f"WITH s AS ({sql_supermers('lexicographic')}), t AS (SELECT title, CAST(row_number() OVER (ORDER BY title) AS INTEGER) AS seq_id FROM (SELECT DISTINCT p_name AS title FROM part)) SELECT seq_id, CAST(start + 1 AS BIGINT) AS location, minimizer, supermer FROM s JOIN part ON p_partkey = read_id JOIN t ON t.title = p_name",
 )
 def supermers_located(spark, d):
-    from pyspark.sql import Window
-
     names = table(spark, d, "part").select(F.col("p_partkey").alias("read_id"), F.col("p_name").alias("header"))
     reads = part_reads(spark, d).join(names, "read_id").withColumn("location", F.lit(1).cast("long"))
-    ids = titles(reads).select("title", F.row_number().over(Window.orderBy("title")).alias("seq_id"))
+    ids = numbered(titles(reads), [F.col("title")], "seq_id", start=1).select("title", F.col("seq_id").cast("int").alias("seq_id"))
     return minimizer.supermers_located(reads, KM, Ordering(M), ids).select("seq_id", "location", "minimizer", "supermer")
 
 
@@ -519,7 +515,7 @@ def minimizer_subset(spark, d):
 
 
 def _scratch(spark) -> str:
-    return f"{shared_dir(spark)}/roundtrip-{uuid.uuid4().hex}"
+    return scratch_path(spark, "roundtrip")
 
 
 @query("sequence_titles", "SELECT DISTINCT p_name AS title FROM part")

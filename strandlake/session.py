@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -19,3 +21,22 @@ def shared_dir(spark: SparkSession) -> str:
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="strandlake-"))
     return _own[0]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.delete(p, True)
+        for x in files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}[._]*")) or []:
+            files.delete(x.getPath(), True)
+    except Exception:  # the session is gone already: nothing to delete with
+        pass
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is written there, or beside it with an ending, is deleted when the driver exits."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(delete, spark, path)
+    return path
