@@ -20,6 +20,7 @@ from ..operators import minimizer
 from ..operators.index import KmerIndex, Params
 from ..operators.minimizer import Ordering
 from ..operators.numbering import numbered
+from ..operators.superindex import SupermerIndex, count_by_supermers
 from ..operators.sequence import count_kmers, fragments, kmers, titles, with_reverse_complements
 from ..session import scratch_path
 from ..sources import sequences, sinks
@@ -511,6 +512,106 @@ def minimizer_subset(spark, d):
     return minimizer.supermers(part_reads(spark, d), KM, minimizer.make_ordering(spark, "lexicographic", M, minimizer.all_motifs(spark, M)))
 
 
+# --- super-mers as the unit of the shuffle and of storage -------------------------------------------
+
+
+@query("kmer_count_supermers", sql_index())
+def kmer_count_supermers(spark, d):
+    return count_by_supermers(line_reads(spark, d), K)
+
+
+@query("kmer_count_supermers_k55", sql_count(55, f"SELECT {_LONG} AS seq FROM lineitem"))
+def kmer_count_supermers_k55(spark, d):
+    key = F.col("l_partkey").cast("string")
+    seq = F.concat(*[bases(F.concat(key, F.lit(f"#{i}"))) for i in range(3)])
+    return count_by_supermers(table(spark, d, "lineitem").select(seq.alias("seq")), 55, Ordering(9, "signature"))
+
+
+@query("kmer_count_supermers_canonical", f"SELECT least(kmer, {RC.format('kmer')}) AS kmer, {CAP.format('count(*)')} AS count FROM ({sql_kmers(9, RUNS.format('1 AS one', DIRTY_PART))}) GROUP BY 1")
+def kmer_count_supermers_canonical(spark, d):
+    """Every minimizer that a full sample calls hot for two parts is split."""
+    reads = part_reads(spark, d, DIRTY)
+    return count_by_supermers(reads, 9, Ordering(2), seq="seq", normalize=True, hot=list(range(8)))
+
+
+def super_index(spark, d, source: tuple[str, str, int] = A, like: SupermerIndex | None = None, by: Ordering | None = None, buckets: int = 8) -> SupermerIndex:
+    """Written and read again."""
+    name, key, times = source
+    reads, path = table(spark, d, name).select(bases(F.col(key).cast("long") * times).alias("seq")), _scratch(spark)
+    made = like.of_more_reads(reads) if like else SupermerIndex.of_reads(reads, K, by or Ordering(8), buckets=buckets)
+    made.write(path)
+    return SupermerIndex.read(spark, path)
+
+
+@query("supermer_index_roundtrip", IA)
+def supermer_index_roundtrip(spark, d):
+    return super_index(spark, d).counted()
+
+
+def _super_pair(spark, d):
+    a = super_index(spark, d)
+    return a, super_index(spark, d, B, a)
+
+
+def _super_binary(name: str, op: str, rule: str, sql: str) -> None:
+    @query(name, sql)
+    def run(spark, d):
+        a, b = _super_pair(spark, d)
+        return getattr(a, op)(b, rule).counted()
+
+
+_super_binary("supermer_index_union_sum", "union", "sum", sql_union("sum", IA, IB))
+_super_binary("supermer_index_union_max", "union", "max", sql_union("max", IA, IB))
+_super_binary("supermer_index_intersect_min", "intersect", "min", sql_intersect("min", IA, IB))
+_super_binary("supermer_index_subtract_counters", "subtract", "counters_subtract", sql_subtract(IA, IB))
+_super_binary("supermer_index_subtract_kmers", "subtract", "kmers_subtract", f"SELECT * FROM ({IA}) WHERE kmer NOT IN (SELECT kmer FROM ({IB}))")
+
+
+@query("supermer_index_filter", f"SELECT * FROM ({IA}) WHERE count BETWEEN 20 AND 35")
+def supermer_index_filter(spark, d):
+    return super_index(spark, d).filter_counts(20, 35).counted()
+
+
+@query("supermer_index_lookup", f"SELECT * FROM ({IA}) WHERE kmer IN (SELECT kmer FROM ({IN}))")
+def supermer_index_lookup(spark, d):
+    return super_index(spark, d).lookup(table(spark, d, "customer").select(bases(F.col("c_custkey").cast("long") * 4).alias("seq"))).counted()
+
+
+@query("supermer_reindex_signature", IA)
+def supermer_reindex_signature(spark, d):
+    """Cut anew by another ordering, written, and read again."""
+    path = _scratch(spark)
+    super_index(spark, d).change_ordering(Ordering(7, "signature")).repartition(5).write(path)
+    return SupermerIndex.read(spark, path).counted()
+
+
+@query("supermer_reindex_given_union", sql_union("sum", IA, IB))
+def supermer_reindex_given(spark, d):
+    """An index by a table of motifs takes in one by another ordering."""
+    a = super_index(spark, d, by=ordering(spark, d, "given"))
+    return a.union(super_index(spark, d, B)).counted()
+
+
+# a k-mer's place is in the super-mer that sorts first of those that hold it
+STORED_BINS = f"""SELECT minimizer, count(DISTINCT home) AS "superKmers", CAST(sum(c) AS BIGINT) AS "totalAbundance", count(*) AS "distinctKmers", CAST(sum(CASE WHEN c = 1 THEN 1 ELSE 0 END) AS BIGINT) AS "uniqueKmers", max(c) AS "maxAbundance" FROM (
+    SELECT minimizer, kmer, count(*) AS c, min(supermer) AS home FROM (
+        SELECT minimizer, supermer, substr(supermer, CAST(i AS INT), {KM}) AS kmer FROM (SELECT *, unnest(range(1, length(supermer) - {KM} + 2)) AS i FROM ({{0}}))
+    ) GROUP BY minimizer, kmer) GROUP BY minimizer"""
+
+
+def _super_bins(kind: str) -> None:
+    @query(f"supermer_index_bins_{kind}", STORED_BINS.format(sql_supermers(kind)))
+    def run(spark, d):
+        """The five statistics of every bin from the stored index, without reads."""
+        path = _scratch(spark)
+        SupermerIndex.of_reads(part_reads(spark, d), KM, ordering(spark, d, kind), buckets=4).write(path)
+        return SupermerIndex.read(spark, path).bins()
+
+
+for _kind in ("lexicographic", "given"):
+    _super_bins(_kind)
+
+
 # --- files -----------------------------------------------------------------------------------------
 
 
