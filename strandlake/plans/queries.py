@@ -22,7 +22,7 @@ from ..operators.minimizer import Ordering
 from ..operators.numbering import numbered
 from ..operators.superindex import SupermerIndex, count_by_supermers
 from ..operators.sequence import count_kmers, fragments, kmers, titles, with_reverse_complements
-from ..session import scratch_path
+from ..session import move, scratch_path
 from ..sources import sequences, sinks
 
 HEX = "0123456789abcdef"
@@ -644,21 +644,51 @@ def fastq_roundtrip(spark, d):
     return sequences.read_sequences(spark, [path]).select("header", F.col("nucleotides").alias("seq"))
 
 
-#: Reads of one long sequence.
-FAI_LINES = 2000
+#: Reads of one long sequence, and bases of one task.
+FAI_LINES, FAI_SPLIT = 2000, 50_000
+LONG_SQL = f"SELECT string_agg(seq, '' ORDER BY read_id) AS seq FROM ({PART}) GROUP BY read_id // {FAI_LINES}"
 
 
-@query("fai_roundtrip", sql_count(K, f"SELECT string_agg(seq, '' ORDER BY read_id) AS seq FROM ({PART}) GROUP BY read_id // {FAI_LINES}"))
-def fai_roundtrip(spark, d):
-    """The whole part table as long sequences, each with a row of the index, the records in one partition each."""
+def _long_fasta(spark, d) -> str:
+    """The whole part table as long sequences, a read for each line, whole sequences in each file."""
     path = _scratch(spark) + ".fasta"
     lines = part_reads(spark, d).withColumn("chr", F.floor(F.col("read_id") / FAI_LINES))
     heads = lines.groupBy("chr").agg(F.count("*").alias("n"))
     heads_out = heads.select("chr", F.lit(-1).cast("long").alias("read_id"), F.concat(F.lit(">chr"), "chr", F.lit(" long")).alias("value"))
     lines.select("chr", "read_id", F.col("seq").alias("value")).unionByName(heads_out).repartition("chr").sortWithinPartitions("chr", "read_id").select("value").write.text(path)
-    # places in the file aren't needed, as lines are numbered by the reader
-    heads.select(F.concat(F.lit("chr"), "chr").alias("id"), F.col("n") * 32, F.lit(0), F.lit(32), F.lit(33)).coalesce(1).write.option("sep", "\t").csv(f"{path}.fai")
-    return count_kmers(sequences.read_long_fasta(spark, path, K, lines_per_chunk=37).select(F.col("nucleotides").alias("seq")), K)
+    return path
+
+
+@query("fai_roundtrip", sql_count(K, LONG_SQL))
+def fai_roundtrip(spark, d):
+    """Files are indexed, and read by the ranges of bases that the index gives."""
+    path = _long_fasta(spark, d)
+    sequences.write_fai(spark, path, FAI_SPLIT)
+    return count_kmers(sequences.read_long_fasta(spark, path, K, FAI_SPLIT).select(F.col("nucleotides").alias("seq")), K)
+
+
+@query(
+    "fai_index",
+    f"SELECT 'chr' || (read_id // {FAI_LINES}) AS id, CAST(sum(length(seq)) AS BIGINT) AS length, CAST(32 AS INTEGER) AS \"bpsPerLine\", CAST(33 AS INTEGER) AS \"bytesPerLine\" FROM ({PART}) GROUP BY read_id // {FAI_LINES}",
+)
+def fai_index(spark, d):
+    return sequences.build_fai(spark, _long_fasta(spark, d), FAI_SPLIT).select("id", "length", "bpsPerLine", "bytesPerLine")
+
+
+@query("long_fasta_pieces", sql_count(K, LONG_SQL))
+def long_fasta_pieces(spark, d):
+    """The same without an index: ranges of bytes find their titles and places themselves."""
+    return count_kmers(sequences.read_fasta_pieces(spark, _long_fasta(spark, d), K, FAI_SPLIT).select(F.col("nucleotides").alias("seq")), K)
+
+
+@query("fastq_splits", f"SELECT CAST(read_id AS VARCHAR) AS header, seq FROM ({PART})")
+def fastq_splits(spark, d):
+    """Records cut by many ranges, quality lines of which every other starts with @ and some with +."""
+    path = _scratch(spark) + ".fastq"
+    quality = F.concat(F.element_at(F.array(F.lit("@"), F.lit("+"), F.lit("@"), F.lit("I")), (F.col("read_id") % 4 + 1).cast("int")), F.repeat(F.lit("@"), 31))
+    lines = F.concat(F.lit("@"), "read_id", F.lit(" of part\n"), "seq", F.lit("\n+\n"), quality)
+    part_reads(spark, d).select(lines.alias("value")).write.text(path)
+    return sequences.read_fastq(spark, path, split=3000).select("header", F.col("nucleotides").alias("seq"))
 
 
 @query("fasta_counts_roundtrip", f"SELECT kmer, count FROM ({IA})")
@@ -715,7 +745,7 @@ def frequencies_roundtrip(spark, d):
     """A sampled ordering is written, found again as the best file of its folder, and read in file order."""
     path = _scratch(spark)
     sinks.write_frequencies(minimizer.frequency_table(part_reads(spark, d), minimizer.all_motifs(spark, M), M), f"{path}/a")
-    spark.read.text(f"{path}/a_minimizers_sample.txt").coalesce(1).write.text(f"{path}/minimizers_{KM}_{M}.txt")
+    move(spark, f"{path}/a_minimizers_sample.txt", f"{path}/minimizers_{KM}_{M}.txt")
     return sequences.read_motifs(spark, sequences.best_motif_file(spark, path, K, M)).select("motif", "line")
 
 

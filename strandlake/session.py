@@ -40,3 +40,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(delete, spark, path)
     return path
+
+
+def move(spark: SparkSession, old: str, new: str) -> None:
+    """Renames a file or folder, also in a remote store."""
+    jvm = spark.sparkContext._jvm
+    a, b = jvm.org.apache.hadoop.fs.Path(old), jvm.org.apache.hadoop.fs.Path(new)
+    if not a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(a, b):
+        raise OSError(f"could not move {old} to {new}")
