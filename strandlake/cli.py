@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import minimizer
+from .operators.hitting import bundled
 from .operators.index import KmerIndex, Kmers, Params
 from .operators.minimizer import Ordering
 from .sources import sequences, sinks
@@ -22,7 +23,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--sample", type=float, default=0.01, help="share of the reads that the frequency ordering is sampled from")
     p.add_argument("--seed", type=int, default=0)
     p.add_argument("--allMinimizers", action="store_true", help="all motifs, not a given set")
-    p.add_argument("--minimizers", help="file of motifs, or folder of minimizers_{k}_{m}.txt")
+    p.add_argument("--minimizers", help="file of motifs, folder of minimizers_{k}_{m}.txt, or bundled: a set that every k-mer holds a motif of")
     p.add_argument("--maxlen", type=int, default=1_000_000, help="accepted and not needed: records of any length are read")
     p.add_argument("--method", choices=["auto", "simple", "pregrouped"], default="auto")
     p.add_argument("-p", "--partitions", type=int, default=200)
@@ -60,6 +61,8 @@ def parser() -> argparse.ArgumentParser:
 
 def motifs(spark: SparkSession, a) -> DataFrame:
     """The motif set, with its order: a file's, or all motifs in lexicographic order."""
+    if a.minimizers == "bundled" and not a.allMinimizers:
+        return bundled(spark, a.k, a.m)
     if a.minimizers and not a.allMinimizers:
         path = a.minimizers if a.minimizers.endswith(".txt") else sequences.best_motif_file(spark, a.minimizers, a.k, a.m)
         return minimizer.given(sequences.read_motifs(spark, path))

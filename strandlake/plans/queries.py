@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dna import is_forward, reverse_complement
 from ..operators import minimizer
+from ..operators.hitting import bundled, hitting_set
 from ..operators.index import KmerIndex, Params
 from ..operators.minimizer import Ordering
 from ..operators.numbering import numbered
@@ -512,6 +513,16 @@ def minimizer_subset(spark, d):
     return minimizer.supermers(part_reads(spark, d), KM, minimizer.make_ordering(spark, "lexicographic", M, minimizer.all_motifs(spark, M)))
 
 
+TABLES["bundled"] = "SELECT motif, row_number() OVER (ORDER BY motif) - 1 AS rank FROM (VALUES " + ", ".join(f"('{''.join('ACGT'[c >> 2 * (M - 1 - j) & 3] for j in range(M))}')" for c in hitting_set(KM, M)) + ") v(motif)"
+RANKS["bundled"] = RANKS["given"]
+
+
+@query("minimizer_bundled", sql_supermers("bundled"))
+def minimizer_bundled(spark, d):
+    """Motifs of a universal hitting set, of which every k-mer holds one."""
+    return minimizer.supermers(part_reads(spark, d), KM, Ordering(M, "table", table=bundled(spark, KM, M)))
+
+
 # --- super-mers as the unit of the shuffle and of storage -------------------------------------------
 
 
