@@ -364,7 +364,7 @@ TABLES = {
 
 def sql_supermers(kind: str, k: int = KM) -> str:
     ranked = f"({TABLES[kind]})" if kind in TABLES else None
-    join = f" JOIN {ranked} t ON t.motif = mm.mmer" if ranked else ""
+    join = f" LEFT JOIN {ranked} t ON t.motif = mm.mmer" if ranked else ""
     return f"""WITH mm AS (SELECT read_id, seq, j, substr(seq, CAST(j AS INT), {M}) AS mmer FROM (SELECT *, unnest(range(1, length(seq) - {M} + 2)) AS j FROM ({PART}))),
     w AS (SELECT read_id, seq, j, min({RANKS[kind]} || '#' || lpad(CAST(j AS VARCHAR), 5, '0')) OVER (PARTITION BY read_id ORDER BY j ROWS BETWEEN CURRENT ROW AND {k - M} FOLLOWING) AS best FROM mm{join}),
     g AS (SELECT read_id, any_value(seq) AS seq, CAST(right(best, 5) AS INTEGER) AS p, min(j) AS a, max(j) AS z FROM w WHERE j <= length(seq) - {k} + 1 GROUP BY read_id, best)
@@ -514,7 +514,8 @@ def minimizer_subset(spark, d):
 
 
 TABLES["bundled"] = "SELECT motif, row_number() OVER (ORDER BY motif) - 1 AS rank FROM (VALUES " + ", ".join(f"('{''.join('ACGT'[c >> 2 * (M - 1 - j) & 3] for j in range(M))}')" for c in hitting_set(KM, M)) + ") v(motif)"
-RANKS["bundled"] = RANKS["given"]
+# motifs outside the set come last
+RANKS["bundled"] = "coalesce(lpad(CAST(rank AS VARCHAR), 9, '0'), 'outside')"
 
 
 @query("minimizer_bundled", sql_supermers("bundled"))
