@@ -11,6 +11,7 @@ from .operators import minimizer
 from .operators.hitting import bundled
 from .operators.index import KmerIndex, Kmers, Params
 from .operators.minimizer import Ordering
+from .operators.superindex import SupermerIndex, count_by_supermers
 from .sources import sequences, sinks
 
 
@@ -25,7 +26,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--allMinimizers", action="store_true", help="all motifs, not a given set")
     p.add_argument("--minimizers", help="file of motifs, folder of minimizers_{k}_{m}.txt, or bundled: a set that every k-mer holds a motif of")
     p.add_argument("--maxlen", type=int, default=1_000_000, help="accepted and not needed: records of any length are read")
-    p.add_argument("--method", choices=["auto", "simple", "pregrouped"], default="auto")
+    p.add_argument("--method", choices=["auto", "simple", "pregrouped", "supermers"], default="auto", help="supermers: k-mers go through the shuffle as super-mers")
+    p.add_argument("--long", action="store_true", help="FASTA without an index may hold records too long for one row")
     p.add_argument("-p", "--partitions", type=int, default=200)
     sub = p.add_subparsers(dest="command", required=True)
 
@@ -46,7 +48,9 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--superkmers", action="store_true", help="write super-mers")
     v = verb("stats", "show statistics")
     v.add_argument("-o", "--output")
-    verb("store", "store an index").add_argument("-o", "--output", required=True)
+    v = verb("store", "store an index")
+    v.add_argument("-o", "--output", required=True)
+    v.add_argument("--supermers", action="store_true", help="as super-mers with counts by place; the other verbs take such indexes too, and write them")
     for name, rule, rules in (("intersect", "min", ("sum", "max", "min", "left", "right")), ("union", "sum", ("sum", "max", "min", "left", "right")), ("subtract", "counters_subtract", ("counters_subtract", "kmers_subtract"))):
         v = verb(name, f"{name} indexes")
         v.add_argument("-r", "--rule", default=rule, choices=rules)
@@ -83,7 +87,7 @@ def ordering(spark: SparkSession, a, reads: DataFrame | None) -> Ordering:
 
 
 def reads_of(spark: SparkSession, a) -> DataFrame:
-    return Kmers.of_files(spark, a.files, Params(a.k, a.m)).reads
+    return Kmers.of_files(spark, a.files, Params(a.k, a.m), long=a.long).reads
 
 
 def pregroup(spark: SparkSession, a, reads: DataFrame) -> bool:
@@ -107,14 +111,72 @@ def inputs(spark: SparkSession, a) -> list[KmerIndex]:
             stored.append(stored[0].of_more_reads(reads, pregroup=pregroup(spark, a, reads)))
         else:
             by = ordering(spark, a, reads if a.command == "store" else None)
-            counted = KmerIndex.of_reads(reads, Params(a.k, a.m, a.normalize, buckets=a.partitions), pregroup=pregroup(spark, a, reads))
+            params = Params(a.k, a.m, a.normalize, buckets=a.partitions)
+            if a.method == "supermers":
+                counted = KmerIndex(count_by_supermers(reads, a.k, by, normalize=a.normalize), params)
+            else:
+                counted = KmerIndex.of_reads(reads, params, pregroup=pregroup(spark, a, reads))
             stored.append(counted.change_ordering(by))
     if not stored:
         raise SystemExit("no input")
     return stored
 
 
-def show(index: KmerIndex) -> str:
+def run_supermers(spark: SparkSession, a) -> str | None:
+    """The verb over indexes of super-mers; None if there is none among the inputs and none is asked for."""
+    kinds = {SupermerIndex.is_at(spark, x) for x in a.index}
+    asked = a.command == "store" and a.supermers and not a.index
+    if not asked and True not in kinds:
+        return None
+    if False in kinds:
+        raise SystemExit("indexes must all be of one form: store the flat ones anew with --supermers")
+    stored = [SupermerIndex.read(spark, x) for x in a.index]
+    if stored:
+        a.k = stored[0].params.k
+    if a.k is None:
+        raise SystemExit("-k is needed")
+    if a.files:
+        reads = reads_of(spark, a)
+        if stored:
+            stored.append(stored[0].of_more_reads(reads))
+        else:
+            stored.append(SupermerIndex.of_reads(reads, a.k, ordering(spark, a, reads), normalize=a.normalize, buckets=a.partitions))
+    op, rule = {"intersect": "intersect", "subtract": "subtract"}.get(a.command, "union"), getattr(a, "rule", "sum")
+    index = stored[0]
+    for other in stored[1:]:
+        index = getattr(index, op)(other, rule)
+    if a.min is not None or a.max is not None:
+        index = index.filter_counts(a.min, a.max)
+    if a.command == "stats":
+        rows = minimizer.stats_report(index.bins()).collect()
+        return show(index) + "\n" + (sinks.write_report(rows, a.output, spark) if a.output else sinks.report(rows))
+    if a.command == "count":
+        if a.buckets or a.superkmers:
+            if a.buckets:
+                sinks.write_bucket_stats(index.bins(), a.output)
+            else:
+                sinks.write_supermers(index.supermers(), a.output)
+            return f"{a.output}_{'bucketStats' if a.buckets else 'superkmers'}"
+        flat = KmerIndex(index.counted(), Params(a.k, min(a.m, a.k - 1), index.params.normalize))
+        if a.histogram:
+            sinks.write_histogram(flat.histogram(), a.output)
+        elif a.tsv:
+            sinks.write_tsv(flat.counted(a.normalize), a.output, a.kmers)
+        else:
+            sinks.write_fasta_counts(flat.counted(a.normalize), a.output)
+        return f"{a.output}_counts"
+    if a.command == "reindex":
+        if a.compatible:
+            like = SupermerIndex.read(spark, a.compatible)
+            index = index.change_ordering(like.ordering, list(like.params.hot), like.params.digits)
+        elif a.changeMinimizers:
+            index = index.change_ordering(ordering(spark, a, index.supermers().select(F.col("supermer").alias("seq"))))
+        index = index.repartition(a.partitions)
+    index.write(a.output)
+    return show(SupermerIndex.read(spark, a.output))
+
+
+def show(index: KmerIndex | SupermerIndex) -> str:
     row = index.stats().first()
     return "\n".join(f"{k}\t{row[k]:,}" for k in ("distinctKmers", "uniqueKmers", "totalAbundance", "maxAbundance"))
 
@@ -127,6 +189,8 @@ def run(spark: SparkSession, argv: list[str]) -> str:
         table = minimizer.frequency_table(reads_of(spark, a), motifs(spark, a), a.m, a.sample, a.seed)
         sinks.write_frequencies(table, a.output)
         return f"{a.output}_minimizers_sample.txt"
+    if (done := run_supermers(spark, a)) is not None:
+        return done
     found = inputs(spark, a)
     bounded = lambda x: x.filter_counts(a.min, a.max)
     # sums are bounded, not what goes into them

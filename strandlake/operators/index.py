@@ -221,11 +221,16 @@ class KmerIndex:
 
     @classmethod
     def read(cls, spark: SparkSession, location: str) -> KmerIndex:
-        params = Params(**json.loads(spark.read.text(f"{location}_params").first()[0]))
+        found = json.loads(spark.read.text(f"{location}_params").first()[0])
+        if found["version"] == 2:
+            raise ValueError(f"the index at {location} holds super-mers: SupermerIndex reads it")
+        params = Params(**found)
         table = f"kmers_{uuid.uuid4().hex}"
         path = location.replace("'", "\\'")
         spark.sql(f"CREATE TABLE {table} (kmer STRING, count INT) USING parquet CLUSTERED BY (kmer) SORTED BY (kmer) INTO {params.buckets} BUCKETS LOCATION '{path}'")
-        return cls(spark.table(table), params, spark.read.parquet(f"{location}_motifs") if params.ordering == "table" else None)
+        df = spark.table(table)
+        spark.sql(f"DROP TABLE {table}")  # the plan holds what it needs
+        return cls(df, params, spark.read.parquet(f"{location}_motifs") if params.ordering == "table" else None)
 
 
 class Kmers:
@@ -236,8 +241,8 @@ class Kmers:
         self.ordering = ordering or Ordering(params.m, params.ordering, params.mask)
 
     @classmethod
-    def of_files(cls, spark: SparkSession, paths: list[str], params: Params, ordering: Ordering | None = None) -> Kmers:
-        raw = read_sequences(spark, paths, params.k).select(F.monotonically_increasing_id().alias("read"), "location", F.col("nucleotides").alias("seq"))
+    def of_files(cls, spark: SparkSession, paths: list[str], params: Params, ordering: Ordering | None = None, long: bool = False) -> Kmers:
+        raw = read_sequences(spark, paths, params.k, long).select(F.monotonically_increasing_id().alias("read"), "location", F.col("nucleotides").alias("seq"))
         return cls(fragments(raw, "seq", "location").select(F.struct("read", "location").alias("read_id"), "seq"), params, ordering)
 
     def index(self, pregroup: bool = False) -> KmerIndex:

@@ -327,6 +327,17 @@ class SupermerIndex:
         if self.motifs is not None:
             self.motifs.select("motif", "rank").write.mode("overwrite").parquet(f"{location}_motifs")
 
+    @staticmethod
+    def is_at(spark: SparkSession, location: str) -> bool:
+        """Whether an index of this form is stored there, rather than a flat one."""
+        return json.loads(spark.read.text(f"{location}_params").first()[0]).get("version") == 2
+
+    def stats(self) -> DataFrame:
+        """One row: ``totalAbundance, distinctKmers, uniqueKmers, maxAbundance``, from the counts by place."""
+        bins = self.bins()
+        sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("totalAbundance", "distinctKmers", "uniqueKmers")]
+        return bins.agg(*sums, F.coalesce(F.max("maxAbundance"), F.lit(0)).cast("long").alias("maxAbundance"))
+
     @classmethod
     def read(cls, spark: SparkSession, location: str) -> SupermerIndex:
         found = json.loads(spark.read.text(f"{location}_params").first()[0])

@@ -818,17 +818,25 @@ def udtf_kmers(spark, d):
     return spark.sql(f"SELECT kmer, CAST(count(*) AS INT) AS count FROM strandlake_reads r, LATERAL kmers(r.seq, {K}) GROUP BY kmer")
 
 
+@query("udtf_supermers", f"SELECT minimizer, start, supermer FROM ({sql_supermers('lexicographic')})")
+def udtf_supermers(spark, d):
+    from ..functions.udtf import register
+
+    register(spark)
+    part_reads(spark, d).createOrReplaceTempView("strandlake_reads")
+    return spark.sql(f"SELECT s.minimizer, s.start, s.supermer FROM strandlake_reads r, LATERAL supermers(r.seq, {KM}, {M}) s")
+
+
 @query("stream_counts", f"SELECT kmer, count(*) AS count FROM ({sql_kmers(K, PART)}) GROUP BY kmer")
 def stream_counts(spark, d):
-    from ..streaming.counting import stream_counts as counts
+    """Batches of a stream are counted and written one by one, and summed up when they are read."""
+    from ..streaming.counting import count_into, counts_at
 
     schema = table(spark, d, "part").schema
     keys = spark.readStream.schema(schema).option("pathGlobFilter", "part.parquet").parquet(d)
-    name = f"counts_{uuid.uuid4().hex}"
-    stream = counts(keys.select(bases(F.col("p_partkey")).alias("seq")), K)
-    q = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", _scratch(spark)).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    path = _scratch(spark)
+    count_into(keys.select(bases(F.col("p_partkey")).alias("seq")), K, f"{path}/counts", f"{path}/progress").awaitTermination()
+    return counts_at(spark, f"{path}/counts").select("kmer", F.col("count").cast("long").alias("count"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -837,5 +845,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: q.sql for k, q in QUERIES.items() if q.sql}
-
-

@@ -1,10 +1,14 @@
-"""Writers: FASTA and TSV of counts, histograms, statistics, super-mers, motif frequencies."""
+"""Writers: FASTA and TSV of counts, histograms, statistics, super-mers, motif frequencies.
+
+What is there is replaced. Tables without rows give files without lines; a report over no bins has none.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.minimizer import stats_report
 
 def write_fasta_counts(counts: DataFrame, out: str) -> None:
     """``>count`` and k-mer on two lines each, at ``{out}_counts``."""
@@ -19,8 +23,11 @@ def write_histogram(histogram: DataFrame, out: str) -> None:
     histogram.write.mode("overwrite").option("sep", "\t").csv(f"{out}_counts")
 
 
-def write_bucket_stats(stats: DataFrame, out: str) -> None:
+def write_bucket_stats(stats: DataFrame, out: str) -> str:
+    """A row for each bin at ``{out}_bucketStats``, and the report over them, which is returned, at ``{out}_stats.txt``."""
     stats.write.mode("overwrite").option("sep", "\t").csv(f"{out}_bucketStats")
+    written = stats.sparkSession.read.schema(stats.schema).option("sep", "\t").csv(f"{out}_bucketStats")
+    return write_report(stats_report(written).collect(), out, stats.sparkSession)
 
 
 def write_supermers(supermers: DataFrame, out: str) -> None:

@@ -13,7 +13,8 @@ from strandlake.operators.index import KmerIndex, Kmers, Params
 from strandlake.operators.minimizer import Ordering
 from strandlake.operators.sequence import count_kmers, fragments
 from strandlake.sources import sequences
-from strandlake.streaming.counting import stream_counts
+from strandlake.operators.superindex import SupermerIndex
+from strandlake.streaming.counting import compact, count_into, counts_at, stream_counts
 
 SLOW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -168,11 +169,11 @@ def write(path, text):
 
 
 def test_files_and_commands(spark, tmp_path):
-    fasta = write(tmp_path / "a.fasta", ">r1 first\nAACTG\nGGTTG\n>r2\nACTGTTTTT\n")
-    fastq = write(tmp_path / "b.fastq", "@q1 x\nAACTGGGTTG\n+\n@@@@@@@@@@\n@q2\nACTGTTTTT\n+q2\nIIIIIIIII\n")
+    fasta = write(tmp_path / "a.fasta", ">r1 first\nGATTA\nCAGGC\n>r2\nACAGGATTA\n")
+    fastq = write(tmp_path / "b.fastq", "@q1 x\nGATTACAGGC\n+\n@@@@@@@@@@\n@q2\nACAGGATTA\n+q2\nIIIIIIIII\n")
     listed = write(tmp_path / "list.txt", f"{fasta}\n{fastq}\n")
     got = sequences.read_sequences(spark, [f"@{listed}"]).collect()
-    assert sorted((r.header, r.nucleotides) for r in got) == [("q1", "AACTGGGTTG"), ("q2", "ACTGTTTTT"), ("r1", "AACTGGGTTG"), ("r2", "ACTGTTTTT")]
+    assert sorted((r.header, r.nucleotides) for r in got) == [("q1", "GATTACAGGC"), ("q2", "ACAGGATTA"), ("r1", "GATTACAGGC"), ("r2", "ACAGGATTA")]
     assert sorted(r.title for r in sequences.sequence_titles(spark, [fasta, fastq]).collect()) == ["q1 x", "q2", "r1 first", "r2"]
     assert sequences.read_sequences(spark, []).count() == 0
     rnd = random.Random(3)
@@ -184,7 +185,7 @@ def test_files_and_commands(spark, tmp_path):
         text += "".join(s[i : i + 10] + "\n" for i in range(0, len(s), 10))
     long = write(tmp_path / "c.fasta", text)
     write(tmp_path / "c.fasta.fai", fai)
-    pieces = sequences.read_long_fasta(spark, long, 23, lines_per_chunk=7).collect()
+    pieces = sequences.read_long_fasta(spark, long, 23, split=70).collect()
     assert len(pieces) > 10 and all(chrom[p.header][p.location - 1 :].startswith(p.nucleotides) for p in pieces)
     df = spark.createDataFrame([(p.nucleotides,) for p in pieces], "seq string")
     assert counts(count_kmers(df, 23)) == Counter(s[i : i + 23] for s in chrom.values() for i in range(len(s) - 22))
@@ -195,7 +196,7 @@ def test_files_and_commands(spark, tmp_path):
     assert counts(KmerIndex.read(spark, c).df) == {k: 2 * v for k, v in counts(KmerIndex.read(spark, a).df).items()}
     out = str(tmp_path / "out")
     cli.run(spark, ["-k", "4", "-m", "2", "count", fasta, "-o", out, "--tsv", "--min", "2"])
-    assert sorted(r[0] for r in spark.read.text(f"{out}_counts").collect()) == ["ACTG\t2", "TTTT\t2"]
+    assert sorted(r[0] for r in spark.read.text(f"{out}_counts").collect()) == ["ACAG\t2", "ATTA\t2", "CAGG\t2", "GATT\t2"]
     assert "totalAbundance\t13" in cli.run(spark, ["-k", "4", "-m", "2", "--sample", "1", "stats", fasta])
     for more in (["--superkmers"], ["--buckets"], ["--histogram"]):
         cli.run(spark, ["-k", "4", "-m", "2", "--ordering", "lexicographic", "count", fasta, "-o", str(tmp_path / more[0][2:]), *more])
@@ -205,9 +206,44 @@ def test_files_and_commands(spark, tmp_path):
     assert counts(KmerIndex.read(spark, str(tmp_path / "D")).df) == counts(KmerIndex.read(spark, a).df)
 
 
+def test_commands_on_supermers(spark, tmp_path):
+    rnd = random.Random(4)
+    genome = "".join(rnd.choice("ACGT") for _ in range(300))
+    one = write(tmp_path / "a.fasta", "".join(f">r{i}\n{genome[i * 20 : i * 20 + 60]}\n" for i in range(12)))
+    two = write(tmp_path / "b.fasta", f">all\n{genome[100:]}\n")
+    ks = lambda *seqs: Counter(s[i : i + 11] for s in seqs for i in range(len(s) - 10))
+    ca, cb = ks(*[genome[i * 20 : i * 20 + 60] for i in range(12)]), ks(genome[100:])
+    a, b, c, d, e = (str(tmp_path / x) for x in "ABCDE")
+    base = ["-k", "11", "-m", "4", "-p", "3", "--ordering", "signature"]
+    cli.run(spark, [*base, "store", one, "-o", a, "--supermers"])
+    cli.run(spark, [*base, "--long", "store", two, "-o", b, "--supermers"])
+    assert SupermerIndex.is_at(spark, a) and counts(SupermerIndex.read(spark, a).counted()) == ca
+    total = sum((ca & cb).values())
+    assert f"totalAbundance\t{total:,}" in cli.run(spark, ["intersect", "-i", a, "-i", b, "-o", c])
+    assert counts(SupermerIndex.read(spark, c).counted()) == ca & cb
+    cli.run(spark, ["union", "-i", a, two, "-o", d, "--min", "2"])
+    assert counts(SupermerIndex.read(spark, d).counted()) == {q: n for q, n in (ca + cb).items() if n > 1}
+    text = cli.run(spark, ["-m", "3", "stats", "-i", a])
+    assert f"totalAbundance\t{sum(ca.values()):,}" in text and "[superKmers]" in text and "none" not in text.split("[superKmers]")[1].split("[")[0]
+    cli.run(spark, ["-m", "3", "--ordering", "lexicographic", "-p", "2", "reindex", "-i", a, "-o", e, "--changeMinimizers"])
+    again = SupermerIndex.read(spark, e)
+    assert (again.params.m, again.params.ordering, again.params.buckets) == (3, "lexicographic", 2) and counts(again.counted()) == ca
+    out = str(tmp_path / "out")
+    cli.run(spark, ["count", "-i", a, "-o", out, "--tsv"])
+    assert dict(r[0].split("\t") for r in spark.read.text(f"{out}_counts").collect()) == {q: str(n) for q, n in ca.items()}
+    cli.run(spark, [*base, "--method", "supermers", "count", one, "-o", out, "--tsv"])
+    assert dict(r[0].split("\t") for r in spark.read.text(f"{out}_counts").collect()) == {q: str(n) for q, n in ca.items()}
+    with pytest.raises(ValueError):
+        KmerIndex.read(spark, a)
+    flat = str(tmp_path / "F")
+    cli.run(spark, [*base, "store", one, "-o", flat])
+    with pytest.raises(SystemExit):
+        cli.run(spark, ["union", "-i", a, "-i", flat, "-o", c])
+
+
 def test_stored_indexes_join_without_a_shuffle(spark, tmp_path):
     for name in "ab":
-        KmerIndex.of_reads(reads(spark, ["AACTGGGTTG"]), Params(4, 2, buckets=4)).write(str(tmp_path / name))
+        KmerIndex.of_reads(reads(spark, ["GATTACAGGC"]), Params(4, 2, buckets=4)).write(str(tmp_path / name))
     a, b = (KmerIndex.read(spark, str(tmp_path / name)) for name in "ab")
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -219,17 +255,26 @@ def test_stored_indexes_join_without_a_shuffle(spark, tmp_path):
 
 
 def test_filters_reach_the_files(spark, tmp_path):
-    KmerIndex.of_reads(reads(spark, ["AACTGGGTTG"]), Params(4, 2, buckets=2)).write(str(tmp_path / "x"))
+    KmerIndex.of_reads(reads(spark, ["GATTACAGGC"]), Params(4, 2, buckets=2)).write(str(tmp_path / "x"))
     plan = KmerIndex.read(spark, str(tmp_path / "x")).filter_min(2).df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(count,2)" in plan
 
 
 def test_stream_adds_up(spark, tmp_path):
     src = tmp_path / "in"
-    reads(spark, ["AACTGGGTTG"]).write.parquet(str(src))
-    reads(spark, ["ACTGTTTTT"]).write.mode("append").parquet(str(src))
+    reads(spark, ["GATTACAGGC"]).write.parquet(str(src))
+    reads(spark, ["ACAGGATTA"]).write.mode("append").parquet(str(src))
     stream = stream_counts(spark.readStream.schema("read_id long, seq string").option("maxFilesPerTrigger", 1).parquet(str(src)), 4)
     q = stream.writeStream.outputMode("complete").format("memory").queryName("added").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert counts(spark.table("added")) == counts(count_kmers(reads(spark, ["AACTGGGTTG", "ACTGTTTTT"]), 4))
-    assert spark.table("added").where(F.col("kmer") == "ACTG").first()["count"] == 2
+    assert counts(spark.table("added")) == counts(count_kmers(reads(spark, ["GATTACAGGC", "ACAGGATTA"]), 4))
+    assert spark.table("added").where(F.col("kmer") == "ACAG").first()["count"] == 2
+    out = str(tmp_path / "counts")
+    again = spark.readStream.schema("read_id long, seq string").option("maxFilesPerTrigger", 1).parquet(str(src))
+    count_into(again, 4, out, str(tmp_path / "cp2")).awaitTermination()
+    assert counts(counts_at(spark, out)) == counts(spark.table("added"))
+    # a batch that is written again takes the place of the first
+    count_kmers(reads(spark, ["ACAGGATTA"]), 4).write.mode("overwrite").parquet(f"{out}/batch=7")
+    count_kmers(reads(spark, ["ACAGGATTA"]), 4).write.mode("overwrite").parquet(f"{out}/batch=7")
+    compact(spark, out, str(tmp_path / "one"))
+    assert counts(counts_at(spark, str(tmp_path / "one"))) == counts(count_kmers(reads(spark, ["GATTACAGGC", "ACAGGATTA", "ACAGGATTA"]), 4))
