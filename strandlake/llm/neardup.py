@@ -45,8 +45,9 @@ SEGMENTS = 5
 CROWD = 32
 #: Longs of a set's bitmap.
 LANES = 16
-#: Rounds in which the documents of a crowded key are compared with one of them.
-HUBS = 4
+#: Rounds in which the documents of a crowded key are compared with one of them. Copies share nearly all their keys and most of those
+#: with nobody else, so a hub of their own is seldom further away than the second round.
+HUBS = 2
 #: Passes over the keys of sets, each over its share of them: what the shuffle of one holds on disk goes before the next.
 PASSES = 4
 #: Votes of one partial sum; four 16-bit counters share a long.
@@ -161,7 +162,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
     """``doc_id, fp, component_id`` of every row: documents whose fingerprints link, directly or in turn, are one class."""
     rows = spool(fingerprints(docs, shingle))
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(fps, radius))
+    roots = components(links(fps, radius), python=True)
     labelled = fps.join(roots, fps.fp == roots.u, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = labelled.join(lowest, "root").select("fp", "component_id")
@@ -243,19 +244,21 @@ def similar_links(docs: DataFrame, rows: DataFrame, shingle: int, least: float,
         shares = crowded.groupBy("sid").agg(F.count("*").alias("shares"))
         crowded = spool(crowded.drop("n").join(small_side(spool(shares)), "sid").join(small_side(bitmaps), "sid"))
         for _ in range(HUBS):
-            now = spool(crowded.join(small_side(spool(components(links))), F.col("sid") == F.col("u"), "left").withColumn("root", F.coalesce("root", "sid")).drop("u"))
+            now = spool(crowded.join(small_side(components(links, python=True)), F.col("sid") == F.col("u"), "left").withColumn("root", F.coalesce("root", "sid")).drop("u"))
             # the hub of a key: of the classes but the largest, the member with most keys
             classes = now.groupBy("key", "root").agg(F.count("*").alias("size"), F.max(F.struct("shares", "sid")).alias("best"))
-            largest = classes.groupBy("key").agg(F.max(F.struct("size", "root"))["root"].alias("top"), F.count("*").alias("classes")).where("classes > 1")
-            hub = classes.join(small_side(spool(largest)), "key").where("root <> top").groupBy("key").agg(F.max("best")["sid"].alias("hub"))
+            largest = small_side(spool(classes.groupBy("key").agg(F.max(F.struct("size", "root"))["root"].alias("top"), F.count("*").alias("classes")).where("classes > 1")))
+            hub = classes.join(largest, "key").where("root <> top").groupBy("key").agg(F.max("best")["sid"].alias("hub"))
             hubs = small_side(spool(hub.join(bitmaps.withColumnRenamed("sid", "hub"), "hub").select("key", *[F.col(c).alias(f"{c}_v") for c in ("hub", *bitmaps.columns[1:])])))
             tried = now.select("key", F.col("root").alias("root_u"), *[F.col(c).alias(f"{c}_u") for c in bitmaps.columns]).join(hubs, "key").where("sid_u <> hub_v").where(_may_be_alike(least))
             tried = tried.select(F.least("sid_u", "hub_v").alias("u"), F.greatest("sid_u", "hub_v").alias("v")).distinct()
             found = spool(_alike(tried, sets, bitmaps, least))
             links = links.unionByName(found)
+            # keys whose documents are one class by now have nothing more to show
+            crowded = now.drop("root").join(largest.select("key"), "key", "left_semi")
             release(spark)
-    roots = components(links).select(F.col("u").alias("sid"), "root")
-    members = spool(shared.join(small_side(spool(roots)), "sid", "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("root")))
+    roots = components(links, python=True).select(F.col("u").alias("sid"), "root")
+    members = spool(shared.join(small_side(roots), "sid", "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("root")))
     # bitmaps go along, so that a pair that can't be alike isn't made
     mapped = spool(members.drop("n").join(small_side(bitmaps), "sid"))
     a, b = (mapped.select("key", *[F.col(c).alias(f"{c}_{side}") for c in mapped.columns if c != "key"]) for side in "uv")
@@ -278,7 +281,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, cro
         raise ValueError("two neighbouring hashes are shared for certain only where the similarity is over two thirds")
     with scratch(docs.sparkSession):
         rows = spool(_neighbours(docs, shingle, least))
-        roots = components(similar_links(docs, rows, shingle, least, _candidates(docs, rows, shingle), crowd))
+        roots = components(similar_links(docs, rows, shingle, least, _candidates(docs, rows, shingle), crowd), python=True)
         sets = rows.groupBy("sid").agg(F.min("doc_id").alias("first"))
         labelled = sets.join(roots, sets.sid == roots.u, "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
         lowest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
