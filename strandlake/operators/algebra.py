@@ -1,4 +1,11 @@
-"""Multiset algebra of counted k-mers: joins on distinct ``kmer`` rows under a count rule."""
+"""Multiset algebra of counted k-mers: joins on distinct ``kmer`` rows under a count rule.
+
+Defined results: an operand has one row for each k-mer, as counts and stored indexes do (``unionByName`` of two
+counts doesn't: sum it up first); a null k-mer matches nothing, so intersections drop it and unions keep each
+side's; a null count is as if the k-mer were absent, and a result whose count is null or not above 0
+goes; sums saturate at 2**31 - 1; an empty operand is the empty multiset; only ``kmer`` and ``count`` are read,
+whatever other columns are called.
+"""
 
 from __future__ import annotations
 

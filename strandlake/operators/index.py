@@ -1,4 +1,9 @@
-"""An immutable multiset of counted k-mers: one flat ``(kmer, count)`` relation and its parameters."""
+"""An immutable multiset of counted k-mers: one flat ``(kmer, count)`` relation and its parameters.
+
+Defined results: null counts take no part in filters and statistics; an index without k-mers has statistics
+of 0 and an empty histogram; k-mers of equal count come in order of the k-mer in ``top`` and
+``bottom``; a written index replaces what is there; extra columns of reads and indexes are not read.
+"""
 
 from __future__ import annotations
 

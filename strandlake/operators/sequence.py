@@ -2,6 +2,12 @@
 
 Input is any DataFrame with a string column; each step is a projection, a generator or one
 hash aggregate, so a count is one shuffle of partially summed k-mers.
+
+Defined results: null sequences, and those shorter than k, give nothing; equal rows each count; counts
+saturate at 2**31 - 1; sequences of any length are worked on whole (readers cut long ones into pieces that
+overlap by k - 1). Other columns of the reads do no harm: ``fragments`` and ``with_reverse_complements``
+carry them along, ``kmers`` and the counts read the named ones only; ``kmers`` rejects kept columns that
+are called as its own are.
 """
 
 from __future__ import annotations
@@ -50,6 +56,8 @@ def kmers(reads: DataFrame, k: int, seq: str = "seq", *keep: str) -> DataFrame:
     """Every window of ``k`` bases, with ``keep`` columns; sequences shorter than k give none."""
     if k < 1:
         raise ValueError("k must be at least 1")
+    if clash := {"at", "kmer"} & set(keep):
+        raise ValueError(f"columns that k-mers bring themselves can't be kept: {sorted(clash)}")
     at = F.explode(F.sequence(F.lit(1), F.length(seq) - (k - 1)))
     return reads.where(F.length(seq) >= k).select(*keep, seq, at.alias("at")).select(*keep, "at", F.substring(F.col(seq), F.col("at"), F.lit(k)).alias("kmer"))
 

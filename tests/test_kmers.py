@@ -11,9 +11,9 @@ from strandlake.functions import dna
 from strandlake.operators import algebra, minimizer
 from strandlake.operators.index import KmerIndex, Kmers, Params
 from strandlake.operators.minimizer import Ordering
-from strandlake.operators.sequence import count_kmers, fragments
-from strandlake.sources import sequences
+from strandlake.operators.sequence import count_kmers, fragments, kmers
 from strandlake.operators.superindex import SupermerIndex
+from strandlake.sources import sequences
 from strandlake.streaming.counting import compact, count_into, counts_at, stream_counts
 
 SLOW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
@@ -278,3 +278,25 @@ def test_stream_adds_up(spark, tmp_path):
     count_kmers(reads(spark, ["ACAGGATTA"]), 4).write.mode("overwrite").parquet(f"{out}/batch=7")
     compact(spark, out, str(tmp_path / "one"))
     assert counts(counts_at(spark, str(tmp_path / "one"))) == counts(count_kmers(reads(spark, ["GATTACAGGC", "ACAGGATTA", "ACAGGATTA"]), 4))
+
+
+def test_nulls_repeats_and_clashing_names(spark):
+    odd = spark.createDataFrame([(1, "ACGTA", "x", 5), (1, "ACGTA", "x", 5), (2, None, "y", 6), (3, "", "z", 7), (None, "AC", None, None)], "read_id long, seq string, kmer string, count int")
+    assert counts(count_kmers(odd, 3)) == {"ACG": 2, "CGT": 2, "GTA": 2}
+    assert sorted(fragments(odd).select("kmer", "seq").collect(), key=str) == sorted([("x", "ACGTA"), ("x", "ACGTA"), (None, "AC")], key=str)
+    with pytest.raises(ValueError):
+        kmers(odd, 3, "seq", "kmer")
+    frame = lambda rows: spark.createDataFrame(rows, "kmer string, count int, a int, b int, u string")
+    a, b = frame([("AC", 3, 9, 9, "q"), ("GG", None, 9, 9, "q"), (None, 2, 9, 9, "q")]), frame([("AC", 2, 8, 8, "r"), ("TT", 4, 8, 8, "r"), (None, 5, 8, 8, "r")])
+    assert sorted(map(tuple, algebra.union(a, b).collect()), key=str) == sorted([("AC", 5), ("TT", 4), (None, 2), (None, 5)], key=str)
+    assert [tuple(r) for r in algebra.intersect(a, b).collect()] == [("AC", 2)]
+    assert sorted(map(tuple, algebra.subtract(a, b).collect()), key=str) == sorted([("AC", 1), (None, 2)], key=str)
+    none = spark.createDataFrame([], "kmer string, count int")
+    ix = KmerIndex(none, Params(3, 2))
+    assert tuple(ix.stats().first()) == (0, 0, 0, 0) and ix.histogram().count() == 0 and ix.union(ix).df.count() == 0
+    from strandlake.functions.udtf import register
+
+    register(spark)
+    odd.createOrReplaceTempView("odd")
+    assert sorted(map(tuple, spark.sql("SELECT read_id, at, k.kmer FROM odd o, LATERAL kmers(o.seq, 4) k").collect())) == [(1, 1, "ACGT"), (1, 1, "ACGT"), (1, 2, "CGTA"), (1, 2, "CGTA")]
+    assert sorted(map(tuple, spark.sql("SELECT s.* FROM odd o, LATERAL supermers(o.seq, 3, 2) s").collect())) == [("AC", 0, "ACG"), ("AC", 0, "ACG"), ("CG", 1, "CGT"), ("CG", 1, "CGT"), ("GT", 2, "GTA"), ("GT", 2, "GTA")]
