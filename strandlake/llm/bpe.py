@@ -32,7 +32,8 @@ SHORT = 64
 
 #: Letters, digits and spaces of texts that take the quick pre-tokenizer (Latin-1 without odd controls).
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r "
-_QUICK = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+# only contractions start with an apostrophe and letters, so words come first: they are the most
+_QUICK = re.compile(rf" ?[{_L}]+| ?[{_N}]+|'(?:[stmd]|re|ve|ll)| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Stands between words while they are matched; no token holds it.
 _GAP = "\u0100"
 ODD = re.compile(r"[^\t-\r -~¡-ÿ]")
@@ -110,6 +111,17 @@ class Merges:
         return out
 
 
+class _Memory(dict):
+    """The ids of words; those asked for that it hasn't got are noted and count as empty."""
+
+    def __init__(self) -> None:
+        self.wanted: list[str] = []
+
+    def __missing__(self, word: str) -> bytes:
+        self.wanted.append(word)
+        return b""
+
+
 class SpeculativeBPE(Merges):
     """Encoder and decoder for a byte-level BPE file in the tokenizers JSON format (given as its text)."""
 
@@ -146,7 +158,7 @@ class SpeculativeBPE(Merges):
         self._automaton.make_automaton()
         self._split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self._library_source, self._library = source, None
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Memory()
         self.speculated = self.failed = 0
 
     def _border_holds(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
@@ -249,13 +261,19 @@ class SpeculativeBPE(Merges):
             self.cache.clear()
         for s, i in self.added.items():
             self.cache[s] = np.array([i], "<u4").tobytes()
-        met: set[str] = set()
-        for words in split:
-            met.update(words)
-        if fresh := list(met.difference(self.cache)):
-            self.learn(fresh)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        get, wanted = self.cache.__getitem__, self.cache.wanted
+        out, again = [], []
+        for i, words in enumerate(split):
+            known = len(wanted)
+            out.append(b"".join(map(get, words)))
+            if len(wanted) > known:
+                again.append(i)
+        if wanted:
+            self.learn(list(dict.fromkeys(wanted)))
+            wanted.clear()
+            for i in again:
+                out[i] = b"".join(map(get, split[i]))
+        return out
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
