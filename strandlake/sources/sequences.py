@@ -85,7 +85,10 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     per = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = per.select(F.col("file").alias("f"), F.col("block").alias("b"), (before - F.col("first")).alias("shift"))
-    joined = raw.join(F.broadcast(offsets), (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
+    # a row for each split of 128 MB
+    if sum(1 + size // (128 << 20) for _, size in files_of(spark, path)) <= FEW_RANGES:
+        offsets = F.broadcast(offsets)
+    joined = raw.join(offsets, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
     return joined.select("file", (F.col("id") + F.col("shift")).alias("line"), F.regexp_replace("value", r"\r$", "").alias("value"))
 
 
