@@ -182,6 +182,12 @@ def kmer_count_dirty(spark, d):
     return count_kmers(part_reads(spark, d, DIRTY), KM)
 
 
+@query("kmer_count_ambiguous", sql_count(5, f"SELECT raw AS seq FROM ({DIRTY_PART})"))
+def kmer_count_ambiguous(spark, d):
+    """Sequences as they are, invalid bases and lower case included."""
+    return count_kmers(part_reads(spark, d, DIRTY), 5, clean=False)
+
+
 @query("kmer_count_text", sql_count(3, RUNS.format("1 AS one", "SELECT text AS raw FROM (SELECT regexp_replace(text, '[\\r\\n]', '', 'g') AS text FROM documents)")))
 def kmer_count_text(spark, d):
     return count_kmers(table(spark, d, "documents").select(F.col("text").alias("seq")), 3)
@@ -624,6 +630,24 @@ for _kind in ("lexicographic", "given"):
     _super_bins(_kind)
 
 
+@query("method_choice", f"SELECT coalesce(bool_or(coalesce(count, 0) >= 5000000), false) AS pregroup, CAST(coalesce(sum(count), 0) AS BIGINT) AS kmers FROM ({ALL_MOTIFS}) LEFT JOIN ({MOTIF_COUNTS}) USING (motif)")
+def method_choice(spark, d):
+    """What the automatic method decides by."""
+    table_ = minimizer.frequency_table(part_reads(spark, d), minimizer.all_motifs(spark, M), M)
+    return table_.agg(F.lit(minimizer.pays_to_pregroup(table_)).alias("pregroup"), F.sum("count").alias("kmers"))
+
+
+@query("cached_index", f"SELECT a.*, b.n FROM ({STATS.format(sql_index())}) a, (SELECT count(*) AS n FROM ({sql_index()}) WHERE count >= 2) b")
+def cached_index(spark, d):
+    """Two results of an index that is counted once."""
+    held = index(spark, d).cache()
+    n = held.filter_min(2).df.count()
+    out = held.stats().select("*", F.lit(n).cast("long").alias("n"))
+    rows = out.collect()
+    held.unpersist()
+    return spark.createDataFrame(rows, out.schema)
+
+
 # --- files -----------------------------------------------------------------------------------------
 
 
@@ -792,6 +816,62 @@ def repartition(spark, d):
     return index(spark, d, A).repartition(5).df
 
 
+def _files(spark, d) -> tuple[str, str, str]:
+    """part's reads as FASTA and orders' as FASTQ, and a folder for results."""
+    path = _scratch(spark)
+    part_reads(spark, d).select(F.concat(F.lit(">"), "read_id", F.lit("\n"), "seq").alias("value")).write.text(f"{path}/a.fasta")
+    orders = table(spark, d, "orders").select(bases(F.col("o_custkey").cast("long") * 2).alias("seq"))
+    orders.select(F.concat(F.lit("@r\n"), "seq", F.lit("\n+\n"), F.repeat(F.lit("I"), 32)).alias("value")).write.text(f"{path}/b.fastq")
+    return f"{path}/a.fasta", f"{path}/b.fastq", path
+
+
+FILE_A, FILE_B = sql_count(K, PART), sql_count(K, f"SELECT {sql_bases('CAST(o_custkey AS BIGINT) * 2')} AS seq FROM orders")
+
+
+def _cli(spark, *words: str) -> str:
+    from ..cli import run
+
+    return run(spark, ["-m", "5", "-p", "4", "--sample", "1", *words])
+
+
+@query("cli_store_union", sql_union("sum", FILE_A, FILE_B))
+def cli_store_union(spark, d):
+    """A stored index takes in a file that is counted on the fly."""
+    a, b, out = _files(spark, d)
+    _cli(spark, "-k", str(K), "store", a, "-o", f"{out}/A")
+    _cli(spark, "union", "-i", f"{out}/A", b, "-o", f"{out}/C")
+    return KmerIndex.read(spark, f"{out}/C").df
+
+
+@query("cli_supermers_intersect", sql_intersect("max", FILE_A, FILE_B))
+def cli_supermers_intersect(spark, d):
+    a, b, out = _files(spark, d)
+    _cli(spark, "-k", str(K), "store", a, "-o", f"{out}/A", "--supermers")
+    _cli(spark, "intersect", "-i", f"{out}/A", b, "-r", "max", "-o", f"{out}/C")
+    return SupermerIndex.read(spark, f"{out}/C").counted()
+
+
+@query("cli_sample", f"SELECT motif, CAST(coalesce(count, 0) AS BIGINT) AS count FROM ({ALL_MOTIFS}) LEFT JOIN ({MOTIF_COUNTS}) USING (motif)")
+def cli_sample(spark, d):
+    a, _, out = _files(spark, d)
+    from ..cli import run
+
+    path = run(spark, ["-k", str(K), "-m", str(M), "--sample", "1", "sample", a, "-o", f"{out}/freq"])
+    return spark.read.schema("motif string, count long").csv(path)
+
+
+@query("cli_subtract_reindex", f"SELECT * FROM ({sql_subtract(FILE_A, FILE_B)}) WHERE count <= 30")
+def cli_subtract_reindex(spark, d):
+    """Counts of a list of files less those of another, bounded, under another ordering."""
+    a, b, out = _files(spark, d)
+    spark.createDataFrame([(a,)], "value string").coalesce(1).write.text(f"{out}/list")
+    _cli(spark, "-k", str(K), "store", f"@{out}/list", "-o", f"{out}/A")
+    _cli(spark, "-k", str(K), "store", b, "-o", f"{out}/B")
+    _cli(spark, "subtract", "-i", f"{out}/A", "-i", f"{out}/B", "-o", f"{out}/C", "--max", "30")
+    _cli(spark, "--ordering", "signature", "reindex", "-i", f"{out}/C", "-o", f"{out}/D", "--changeMinimizers")
+    return KmerIndex.read(spark, f"{out}/D").df
+
+
 @query("sample_hash", f"SELECT * FROM ({sql_index()}) WHERE CAST('0x' || substr(md5(kmer), 1, 8) AS BIGINT) % 1000000 < 250000")
 def sample_hash(spark, d):
     return index(spark, d).sample_hash(0.25).df
