@@ -49,4 +49,6 @@ def decode(code, size: int) -> Column:
 
 
 def capped(count) -> Column:
-    return F.least(_col(count), F.lit(MAX_COUNT)).cast("int")
+    c = _col(count)
+    # least() would take a null for the cap
+    return F.when(c > MAX_COUNT, F.lit(MAX_COUNT)).otherwise(c).cast("int")
