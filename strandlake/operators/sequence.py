@@ -19,6 +19,18 @@ from ..functions.dna import canonical, capped, is_forward, normalise, reverse_co
 
 #: Pre-grouping pays if a minimizer is expected to hold this many k-mers.
 LARGE_BUCKET = 5_000_000
+#: Reads of a task.
+ROWS = 1 << 16
+
+
+def dealt(rows: DataFrame, key: str, counted: DataFrame | None = None, most: int = ROWS) -> DataFrame:
+    """``rows`` in as many tasks as hold about ``most`` rows each, equal keys together; few rows stay where they are.
+
+    For reads that are made of short keys: a file of keys is a few tasks, however many bases are
+    made of them. ``counted`` has as many rows, where those of a stream can't be counted.
+    """
+    n = -(-(rows if counted is None else counted).count() // most)
+    return rows.repartition(n, key) if n > 1 else rows
 
 
 def fragments(reads: DataFrame, seq: str = "seq", location: str | None = None) -> DataFrame:

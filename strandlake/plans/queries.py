@@ -22,7 +22,7 @@ from ..operators.index import KmerIndex, Params
 from ..operators.minimizer import Ordering
 from ..operators.numbering import numbered
 from ..operators.superindex import SupermerIndex, count_by_supermers
-from ..operators.sequence import count_kmers, fragments, kmers, titles, with_reverse_complements
+from ..operators.sequence import count_kmers, dealt, fragments, kmers, titles, with_reverse_complements
 from ..session import move, scratch_path
 from ..sources import sequences, sinks
 
@@ -59,12 +59,17 @@ def bases(key: Column, to: str = CLEAN) -> Column:
     return F.translate(F.md5(key.cast("string").cast("binary")), HEX, to)
 
 
+def keys(spark: SparkSession, d: str, name: str, key: str) -> DataFrame:
+    """A table's keys, in tasks of as many rows however large its files are; equal ones, whose reads are equal, together."""
+    return dealt(table(spark, d, name).select(key), key)
+
+
 def part_reads(spark, d, to=CLEAN):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("read_id"), bases(F.col("p_partkey"), to).alias("seq"))
+    return keys(spark, d, "part", "p_partkey").select(F.col("p_partkey").alias("read_id"), bases(F.col("p_partkey"), to).alias("seq"))
 
 
 def line_reads(spark, d):
-    return table(spark, d, "lineitem").select(bases(F.col("l_partkey")).alias("seq"))
+    return keys(spark, d, "lineitem", "l_partkey").select(bases(F.col("l_partkey")).alias("seq"))
 
 
 def sql_bases(key: str, to: str = CLEAN) -> str:
@@ -555,7 +560,7 @@ def kmer_count_supermers_canonical(spark, d):
 def super_index(spark, d, source: tuple[str, str, int] = A, like: SupermerIndex | None = None, by: Ordering | None = None, buckets: int = 8) -> SupermerIndex:
     """Written and read again."""
     name, key, times = source
-    reads, path = table(spark, d, name).select(bases(F.col(key).cast("long") * times).alias("seq")), _scratch(spark)
+    reads, path = keys(spark, d, name, key).select(bases(F.col(key).cast("long") * times).alias("seq")), _scratch(spark)
     made = like.of_more_reads(reads) if like else SupermerIndex.of_reads(reads, K, by or Ordering(8), buckets=buckets)
     made.write(path)
     return SupermerIndex.read(spark, path)
@@ -592,7 +597,7 @@ def supermer_index_filter(spark, d):
 
 @query("supermer_index_lookup", f"SELECT * FROM ({IA}) WHERE kmer IN (SELECT kmer FROM ({IN}))")
 def supermer_index_lookup(spark, d):
-    return super_index(spark, d).lookup(table(spark, d, "customer").select(bases(F.col("c_custkey").cast("long") * 4).alias("seq"))).counted()
+    return super_index(spark, d).lookup(keys(spark, d, "customer", "c_custkey").select(bases(F.col("c_custkey").cast("long") * 4).alias("seq"))).counted()
 
 
 @query("supermer_reindex_signature", IA)
@@ -820,7 +825,7 @@ def _files(spark, d) -> tuple[str, str, str]:
     """part's reads as FASTA and orders' as FASTQ, and a folder for results."""
     path = _scratch(spark)
     part_reads(spark, d).select(F.concat(F.lit(">"), "read_id", F.lit("\n"), "seq").alias("value")).write.text(f"{path}/a.fasta")
-    orders = table(spark, d, "orders").select(bases(F.col("o_custkey").cast("long") * 2).alias("seq"))
+    orders = keys(spark, d, "orders", "o_custkey").select(bases(F.col("o_custkey").cast("long") * 2).alias("seq"))
     orders.select(F.concat(F.lit("@r\n"), "seq", F.lit("\n+\n"), F.repeat(F.lit("I"), 32)).alias("value")).write.text(f"{path}/b.fastq")
     return f"{path}/a.fasta", f"{path}/b.fastq", path
 
@@ -913,9 +918,9 @@ def stream_counts(spark, d):
     from ..streaming.counting import count_into, counts_at
 
     schema = table(spark, d, "part").schema
-    keys = spark.readStream.schema(schema).option("pathGlobFilter", "part.parquet").parquet(d)
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "part.parquet").parquet(d).select("p_partkey")
     path = _scratch(spark)
-    count_into(keys.select(bases(F.col("p_partkey")).alias("seq")), K, f"{path}/counts", f"{path}/progress").awaitTermination()
+    count_into(dealt(rows, "p_partkey", table(spark, d, "part")).select(bases(F.col("p_partkey")).alias("seq")), K, f"{path}/counts", f"{path}/progress").awaitTermination()
     return counts_at(spark, f"{path}/counts").select("kmer", F.col("count").cast("long").alias("count"))
 
 

@@ -300,3 +300,16 @@ def test_nulls_repeats_and_clashing_names(spark):
     odd.createOrReplaceTempView("odd")
     assert sorted(map(tuple, spark.sql("SELECT read_id, at, k.kmer FROM odd o, LATERAL kmers(o.seq, 4) k").collect())) == [(1, 1, "ACGT"), (1, 1, "ACGT"), (1, 2, "CGTA"), (1, 2, "CGTA")]
     assert sorted(map(tuple, spark.sql("SELECT s.* FROM odd o, LATERAL supermers(o.seq, 3, 2) s").collect())) == [("AC", 0, "ACG"), ("AC", 0, "ACG"), ("CG", 1, "CGT"), ("CG", 1, "CGT"), ("GT", 2, "GTA"), ("GT", 2, "GTA")]
+
+
+def test_reads_of_a_single_file_of_keys_are_dealt_to_tasks(spark, tmp_path):
+    from strandlake.operators.sequence import dealt
+
+    path = str(tmp_path / "rows")
+    spark.range(1000).selectExpr("id % 300 AS key").coalesce(1).write.parquet(path)
+    rows = spark.read.parquet(path)
+    out = dealt(rows, "key", most=100)
+    parts = out.selectExpr("key", "spark_partition_id() AS p").collect()
+    assert out.rdd.getNumPartitions() == 10 and len({r.p for r in parts}) > 5
+    assert len({(r.key, r.p) for r in parts}) == 300 and len(parts) == 1000
+    assert dealt(rows, "key").rdd.getNumPartitions() == 1
