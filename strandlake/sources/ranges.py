@@ -27,6 +27,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 NAME = "strandlake_sequences"
 #: Bytes that are read on at a time where a record goes beyond its range; also the longest title that is recognised at a range's start.
 MORE = 1 << 16
+#: Bytes of a range whose records are split at a time.
+STEP = 4 << 20
+#: Tasks among which short ranges are dealt; and the bytes of several ranges that one task reads at most.
+TASKS, MOST = 256, 32 << 20
 #: Bases of a piece.
 PIECE = 1 << 20
 _BLANK = b"\n\r \t"
@@ -49,6 +53,13 @@ class Part(InputPartition):
         self.uri, self.number, self.start, self.end, self.size = uri, number, start, end, size
 
 
+class Parts(InputPartition):
+    """Neighbouring ranges that one task reads one after another, each by itself."""
+
+    def __init__(self, parts: list[Part]):
+        self.parts = parts
+
+
 class BaseRanges(InputPartition):
     """Stretches of bases of an indexed file: ``id, first base, end, offset of the sequence, bases and bytes of a line, its length``."""
 
@@ -198,20 +209,25 @@ class RangeReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         if self.mode == "fai":
             return [BaseRanges(uri, s) for uri, _, index in self.files for s in fai_stretches(_text(index), self.split)]
-        return [Part(uri, i, a, min(a + self.split, size), size) for uri, size, *_ in self.files for i, a in enumerate(range(0, size, self.split))]
+        each = [Part(uri, i, a, min(a + self.split, size), size) for uri, size, *_ in self.files for i, a in enumerate(range(0, size, self.split))]
+        # a task costs more than a short range
+        n = max(1, min(-(-len(each) // TASKS), MOST // self.split))
+        return each if n == 1 else [Parts(each[i : i + n]) for i in range(0, len(each), n)]
 
     def read(self, partition: InputPartition | None) -> Iterator[pa.RecordBatch]:
         # Spark asks for one part even where there is none
         if partition is not None:
-            yield from getattr(self, f"_{self.mode}")(partition)
+            for p in partition.parts if isinstance(partition, Parts) else [partition]:
+                yield from getattr(self, f"_{self.mode}")(p)
 
     def _fastq(self, p: Part) -> Iterator[pa.RecordBatch]:
-        titles, bases = fastq_records(Bytes(p.uri, max(0, p.start - 1), p.size), p.start, p.end)
-        heads = [t.split(b" ", 1)[0] for t in titles]
-        for a in range(0, len(titles), 50_000):
-            b = a + 50_000
-            text = [pa.array(x[a:b], pa.binary()).cast(pa.string()) for x in (titles, heads, bases)]
-            yield pa.RecordBatch.from_arrays([text[0], text[1], pa.array([1] * len(text[0]), pa.int64()), text[2]], ["title", "header", "location", "nucleotides"])
+        for start in range(p.start, p.end, STEP):
+            titles, bases = fastq_records(Bytes(p.uri, max(0, start - 1), p.size), start, min(start + STEP, p.end))
+            heads = [t.split(b" ", 1)[0] for t in titles]
+            for a in range(0, len(titles), 50_000):
+                b = a + 50_000
+                text = [pa.array(x[a:b], pa.binary()).cast(pa.string()) for x in (titles, heads, bases)]
+                yield pa.RecordBatch.from_arrays([text[0], text[1], pa.array([1] * len(text[0]), pa.int64()), text[2]], ["title", "header", "location", "nucleotides"])
 
     def _fai(self, p: BaseRanges) -> Iterator[pa.RecordBatch]:
         system, path = open_fs(p.uri)

@@ -190,3 +190,21 @@ def test_compressed_fastq_goes_by_lines(spark, tmp_path):
     assert sequences.read_fastq(spark, str(tmp_path / "z.fastq")).count() == 0
     with pytest.raises(FileNotFoundError):
         sequences.read_fastq(spark, str(tmp_path / "none.fastq"))
+
+
+def test_short_ranges_share_tasks(tmp_path, monkeypatch):
+    from strandlake.sources import ranges
+
+    path = tmp_path / "many.fastq"
+    path.write_text("".join(f"@r{i}\n{'ACGT' * 8}\n+\n@{'I' * 31}\n" for i in range(5000)))
+    size = path.stat().st_size
+    reader = RangeReader({"mode": "fastq", "files": json.dumps([[f"file:{path}", size, None]]), "split": "100"})
+    parts = reader.partitions()
+    assert size // 100 > 10 * len(parts) and len(parts) <= ranges.TASKS
+    got = [r["title"] for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert got == [f"r{i}" for i in range(5000)]
+    # a long range is split in steps
+    monkeypatch.setattr(ranges, "STEP", 999)
+    one = RangeReader({"mode": "fastq", "files": json.dumps([[f"file:{path}", size, None]]), "split": str(size)})
+    batches = [b for p in one.partitions() for b in one.read(p)]
+    assert len(batches) > 300 and [r["title"] for b in batches for r in b.to_pylist()] == got
