@@ -8,7 +8,8 @@ k-mers is split by a second digit (``packed.cut``) that depends on the k-mer alo
 ``SupermerIndex`` keeps the counts in this form: a row for each distinct super-mer, with a count for every
 place of a k-mer in it. A k-mer is counted in one place only, when built that of the super-mer that sorts
 first of all that hold it; elsewhere its count is 0. Stored buckets are by minimizer and digit, so that indexes
-with the same ordering, hot minimizers and buckets are combined without a shuffle.
+with the same ordering, hot minimizers and buckets are combined without a shuffle; of others, super-mers are
+dealt out anew, not k-mers. The number of buckets asked for is the least one: it grows with the reads.
 
 Defined results: null and too short sequences give nothing; invalid bases break sequences; equal
 sequences each count; counts saturate at 2**31 - 1; super-mers without any counted k-mer are not kept; an
@@ -38,6 +39,8 @@ DIGITS = 4096
 HOLD = 1 << 20
 #: Share of the reads that hot minimizers are looked for in; it decides where k-mers are counted, not how.
 SAMPLE = 0.01
+#: K-mers, repeated ones too, up to which a bucket is meant to hold: some 100 bytes each where they are sorted.
+BUCKET = 1 << 23
 PACKED = "minimizer long, digit int, size int, words array<long>, weight long"
 INDEX = "minimizer long, digit int, size int, words array<long>, counts array<int>"
 
@@ -74,6 +77,13 @@ def hot_minimizers(reads: DataFrame, k: int, ordering: Ordering, seq: str = "seq
     return sorted(r["minimizer"] for r in rows if r["minimizer"] is not None and r["n"] > total / (2 * parts))
 
 
+def buckets_for(reads: DataFrame, k: int, least: int, seq: str = "seq", normalize: bool = False, fraction: float = SAMPLE, seed: int = 0) -> int:
+    """``least``, or as many as hold up to about ``BUCKET`` k-mers each, by a sample of the reads."""
+    some = prepared(reads.sample(fraction, seed) if fraction < 1 else reads, k, seq, normalize)
+    n = some.where(F.length(seq) >= k).agg(F.sum(F.length(seq) - (k - 1))).first()[0] or 0
+    return max(least, -(-int(n / fraction) // BUCKET))
+
+
 def routed(supers: DataFrame, parts: int | None = None) -> DataFrame:
     """Equal super-mers summed up, in the part of their minimizer and digit."""
     where = [F.col("minimizer"), F.col("digit")]
@@ -158,6 +168,7 @@ class SupermerIndex:
     @classmethod
     def of_reads(cls, reads: DataFrame, k: int, ordering: Ordering, *, seq: str = "seq", normalize: bool = False, buckets: int = 200, hot: list[int] | None = None) -> SupermerIndex:
         one = prepared(reads, k, seq, normalize)
+        buckets = buckets_for(reads, k, buckets, seq, normalize)
         if hot is None:
             hot = hot_minimizers(reads, k, ordering, seq, parts=buckets, normalize=normalize)
         params = SuperParams(k, ordering.m, ordering.kind, ordering.mask, normalize, buckets, tuple(hot))
@@ -179,9 +190,10 @@ class SupermerIndex:
         return Ordering(p.m, p.ordering, p.mask, self.motifs)
 
     def of_more_reads(self, reads: DataFrame, seq: str = "seq") -> SupermerIndex:
-        """An index of other reads with this one's ordering, hot minimizers and buckets."""
-        one = prepared(reads, self.params.k, seq, self.params.normalize)
-        return self._with(self._counted_on(one, self.params, self.ordering, seq))
+        """An index of other reads with this one's ordering, hot minimizers and buckets, or more buckets if these reads need them."""
+        p = self.params
+        p = replace(p, buckets=buckets_for(reads, p.k, p.buckets, seq, p.normalize))
+        return SupermerIndex(self._counted_on(prepared(reads, p.k, seq, p.normalize), p, self.ordering, seq), p, self.motifs)
 
     def _with(self, df: DataFrame) -> SupermerIndex:
         return SupermerIndex(df, self.params, self.motifs)
@@ -233,12 +245,18 @@ class SupermerIndex:
             alike = not mine.exceptAll(theirs).take(1) and not theirs.exceptAll(mine).take(1)
         return alike
 
-    def _fitting(self, other: SupermerIndex) -> SupermerIndex:
+    def _fitting(self, other: SupermerIndex) -> tuple[SupermerIndex, SupermerIndex]:
+        """Both, routed alike and in as many buckets as the one with more has."""
         if (self.params.k, self.params.normalize) != (other.params.k, other.params.normalize):
             raise ValueError(f"indexes don't fit: {self.params} and {other.params}")
         # buckets by minimizer and digit serve joins on these and the k-mer
         self.df.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-        return other if self.fits(other) else other.change_ordering(self.ordering, list(self.params.hot), self.params.digits)
+        n, alike = max(self.params.buckets, other.params.buckets), self.fits(other)
+        # super-mers are dealt out here: the join would shuffle their k-mers
+        mine = self if self.params.buckets == n else self.repartition(n)
+        if not alike:
+            other = other.change_ordering(self.ordering, list(self.params.hot), self.params.digits)
+        return mine, other if alike and other.params.buckets == n else other.repartition(n)
 
     def _joined(self, other: SupermerIndex, how: str, count: Column) -> DataFrame:
         """This index's k-mers with ``count`` of the columns a and b (longs), where that is above 0, at their places here."""
@@ -254,8 +272,8 @@ class SupermerIndex:
         rules = {"sum": a + F.coalesce(b, F.lit(0)), "max": F.greatest(a, b), "min": F.least(a, b), "left": a, "right": F.coalesce(b, a)}
         if rule not in rules:
             raise ValueError(f"no such rule for a union: {rule}")
-        other = self._fitting(other)
-        return self._with(self._joined(other, "left", rules[rule]).unionAll(other._without(self)))
+        mine, other = self._fitting(other)
+        return mine._with(mine._joined(other, "left", rules[rule]).unionAll(other._without(mine)))
 
     def _without(self, other: SupermerIndex) -> DataFrame:
         left = self.kmers().join(other.kmers().select("minimizer", "digit", "kmer").hint("merge"), ["minimizer", "digit", "kmer"], "left_anti")
@@ -266,14 +284,16 @@ class SupermerIndex:
         rules = {"sum": a + b, "max": F.greatest(a, b), "min": F.least(a, b), "left": a, "right": b, "counters_subtract": a - b}
         if rule not in rules:
             raise ValueError(f"no such rule for an intersection: {rule}")
-        return self._with(self._joined(self._fitting(other), "inner", rules[rule]))
+        mine, other = self._fitting(other)
+        return mine._with(mine._joined(other, "inner", rules[rule]))
 
     def subtract(self, other: SupermerIndex, rule: str = "counters_subtract") -> SupermerIndex:
-        if rule == "kmers_subtract":
-            return self._with(self._without(self._fitting(other)))
-        if rule != "counters_subtract":
+        if rule not in ("kmers_subtract", "counters_subtract"):
             raise ValueError(f"no such rule for a subtraction: {rule}")
-        return self._with(self._joined(self._fitting(other), "left", F.col("a") - F.coalesce("b", F.lit(0))))
+        mine, other = self._fitting(other)
+        if rule == "kmers_subtract":
+            return mine._with(mine._without(other))
+        return mine._with(mine._joined(other, "left", F.col("a") - F.coalesce("b", F.lit(0))))
 
     def lookup(self, reads: DataFrame, seq: str = "seq") -> SupermerIndex:
         """This index's counts of the k-mers of some sequences."""

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.operators import minimizer, packed
+from strandlake.operators import minimizer, packed, superindex
 from strandlake.operators.minimizer import Ordering
 from strandlake.operators.numbering import numbered
 from strandlake.operators.sequence import count_kmers
@@ -240,6 +240,28 @@ def test_stored_index(spark, two, tmp_path, hot):
         x.union(y, "kmers_subtract")
 
 
+def test_buckets_grow_with_the_reads(spark, tmp_path, monkeypatch):
+    """And indexes of different buckets or orderings are dealt out as super-mers, not as k-mers."""
+    monkeypatch.setattr(superindex, "BUCKET", 5000)
+    rnd, k = random.Random(3), 13
+    a, b = [dna(rnd, 40) for _ in range(300)], [dna(rnd, 40) for _ in range(1500)]
+    b[:100] = a[:100]
+    few, many = (spark.createDataFrame([(x,) for x in xs], "seq string").repartition(2) for xs in (a, b))
+    assert superindex.buckets_for(few, k, 3, fraction=1) == 3 and superindex.buckets_for(many, k, 3, fraction=1) == 9
+    monkeypatch.setattr(superindex.buckets_for, "__defaults__", ("seq", False, 1, 0))
+    x = SupermerIndex.of_reads(few, k, Ordering(4), buckets=2, hot=[0])
+    y = x.of_more_reads(many)
+    assert (x.params.buckets, y.params.buckets) == (2, 9)
+    x.write(f"{tmp_path}/x"), y.write(f"{tmp_path}/y")
+    x, y = SupermerIndex.read(spark, f"{tmp_path}/x"), SupermerIndex.read(spark, f"{tmp_path}/y")
+    ca, cb = kmer_counts(a, k), kmer_counts(b, k)
+    for one, other, want in ((x, y, ca + cb), (y, x, ca + cb), (x, y.change_ordering(Ordering(5)), ca + cb)):
+        found = one.union(other)
+        assert found.params.buckets == 9 and as_dict(found.counted()) == want
+        for shuffled in plan(found.df).split("Exchange hashpartitioning(")[1:]:
+            assert "kmer" not in shuffled.split("),")[0]
+
+
 def test_cut_anew(spark, two, tmp_path):
     k = 13
     reads, more, a, b = two
