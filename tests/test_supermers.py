@@ -12,6 +12,7 @@ from strandlake.operators.minimizer import Ordering
 from strandlake.operators.numbering import numbered
 from strandlake.operators.sequence import count_kmers
 from strandlake.operators.superindex import SupermerIndex, count_by_supermers, cut_kmers, hot_minimizers, packed_supermers, routed
+from strandlake.plans import queries
 
 
 def dna(rnd, n):
@@ -160,6 +161,25 @@ def test_counts_with_a_third_of_the_bytes(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_keys_that_every_file_repeats_are_sent_once(spark, tmp_path, monkeypatch):
+    """By the queries of super-mers and of plain counts; sequence files made of one file of keys are several."""
+    d = str(tmp_path)
+    for name, key, files in (("lineitem", "l_partkey", 8), ("orders", "o_custkey", 1), ("part", "p_partkey", 1)):
+        for _ in range(files):
+            spark.range(200).withColumnRenamed("id", key).coalesce(1).write.mode("append").parquet(f"{d}/{name}.parquet")
+    monkeypatch.setattr(queries.dealt, "__defaults__", (None, 50))
+    sent = packed_supermers(queries.line_reads(spark, d), queries.K, Ordering(8))
+    assert {r.weight for r in sent.collect()} == {8}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        as_stored = queries.table(spark, d, "lineitem").select(queries.bases(F.col("l_partkey")).alias("seq"))
+        assert 2 * exchanged(queries.kmer_count(spark, d)) < exchanged(count_kmers(as_stored, queries.K))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    for path in queries._files(spark, d)[:2]:
+        assert spark.read.text(path).select(F.input_file_name()).distinct().count() > 1
+
+
 def test_hot_minimizers_are_split(spark):
     """A third of the k-mers have one minimizer."""
     rnd = random.Random(8)
