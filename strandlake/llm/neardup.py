@@ -25,9 +25,10 @@ more than ``D`` differences and ``D`` single common elements. So the neighbours
 ``2 * D + 2`` are the join keys (a passage in common seldom gives one). Of pairs that meet, those
 whose bitmaps already differ too much are left out, and the others are verified on the whole sets
 (of 64-bit hashes). Documents of a key that more than ``CROWD`` share are linked to a few hubs
-first; only pairs whose ends are then still in different classes are looked at. Sets are not kept
-but made again where they are needed, which saves disk. Texts without words have the empty set
-and are alike.
+first; only pairs whose ends are then still in different classes are looked at. Texts are cut into
+shingles once: the sets are written, in two columns, so that the passes over the keys read the hashes of
+these only, and fingerprints (of the distinct shingles here), keys and the sets of documents that meet are
+made of them. Texts without words have the empty set and are alike.
 """
 
 from __future__ import annotations
@@ -50,6 +51,8 @@ LANES = 16
 HUBS = 2
 #: Passes over the keys of sets, each over its share of them: what the shuffle of one holds on disk goes before the next.
 PASSES = 4
+#: Column of shingle hashes that were made before.
+SHINGLED = "__shingles"
 #: Votes of one partial sum; four 16-bit counters share a long.
 CHUNK = 32_000
 
@@ -87,8 +90,12 @@ def shingle_hashes(text: Column, size: int) -> Column:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` (long) of every row. Map-side sums leave one small row per document and 32,000 shingles to shuffle."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), shingle_hashes(text_or_empty(), shingle).alias("hs"))
+    """``doc_id, fp`` (long) of every row. Map-side sums leave one small row per document and 32,000 shingles to shuffle.
+
+    Rows with a column ``SHINGLED`` bring their hashes along in it.
+    """
+    hashes = F.col(SHINGLED) if SHINGLED in docs.columns else shingle_hashes(text_or_empty(), shingle)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), hashes.alias("hs"))
     each = rows.select("doc_id", "row", F.posexplode_outer("hs").alias("at", "h"))
     part = each.groupBy("doc_id", "row", F.floor(F.coalesce("at", F.lit(0)) / CHUNK).alias("chunk")).agg(F.count("h").alias("n"), *votes(F.coalesce("h", F.lit(0).cast("long"))))
     whole = part.groupBy("doc_id", "row").agg(F.sum("n").alias("n"), *[c for j in range(16) for c in counted(j)])
@@ -169,19 +176,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, hs, sid``: the sorted distinct shingle hashes of every row, and their hash."""
+def _sets(docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """``doc_id, row, sid, n, low, high``: every row's distinct shingle hashes, rising, parted behind those that make keys; ``sid`` is their hash."""
     hashes = F.coalesce(F.sort_array(F.array_distinct(shingle_hashes(text_or_empty(), shingle))), F.array().cast("array<bigint>"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashes.alias("hs")).withColumn("sid", F.xxhash64("hs"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), hashes.alias("hs"))
+    rows = rows.select("doc_id", "row", F.xxhash64("hs").alias("sid"), F.size("hs").alias("n"), "hs")
+    low = 2 * _most(least) + 2
+    return rows.select("doc_id", "row", "sid", "n", F.slice("hs", 1, low).alias("low"), F.slice("hs", low + 1, F.col("n")).alias("high"))
+
+
+def _most(least: float) -> Column:
+    """Hashes that a set of ``n`` lacks of one alike at most."""
+    return F.floor(F.col("n") * ((1 - least) / least) + 1e-9).cast("int")
+
+
+def _whole(name: str = "hs") -> Column:
+    return F.concat("low", "high").alias(name)
 
 
-def _neighbours(docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """``doc_id, sid, n, keys`` of every row: hashes of the neighbours of its set of which sets alike share one."""
-    n = F.size("hs")
+def _neighbours(rows: DataFrame, least: float) -> DataFrame:
+    """``sid, n, key`` for every row of ``_sets``: hashes of the neighbours of its set of which sets alike share one."""
     # smaller sets are alike only if they are equal
-    most = F.floor(n * ((1 - least) / least) + 1e-9).cast("int")
-    keys = F.when(most > 0, F.transform(F.sequence(F.lit(1), 2 * most + 1), lambda i: F.xxhash64(F.element_at("hs", i), F.element_at("hs", i + 1))))
-    return _sets(docs, shingle).select("doc_id", "sid", n.alias("n"), keys.alias("keys"))
+    at = F.explode(F.sequence(F.lit(1), 2 * _most(least) + 1)).alias("at")
+    each = rows.where(_most(least) > 0).select("sid", "n", "low", at)
+    return each.select("sid", "n", F.xxhash64(F.get("low", F.col("at") - 1), F.get("low", F.col("at"))).alias("key"))
 
 
 def _bitmaps(sets: DataFrame) -> DataFrame:
@@ -212,13 +230,13 @@ def _alike(pairs: DataFrame, sets: DataFrame, bitmaps: DataFrame, least: float)
     return both.where(F.col("common") + 1e-9 >= least * (F.col("sizes") - F.col("common"))).select("u", "v")
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, shingle: int, least: float, candidates: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """Links ``u, v`` that connect all different sets of ``docs`` of similarity ``least`` or more.
+def similar_links(rows: DataFrame, least: float, candidates: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Links ``u, v`` that connect all different sets of ``rows`` of similarity ``least`` or more.
 
-    ``rows`` are ``_neighbours`` of them, ``candidates`` the pairs ``u, v`` by fingerprints, both written.
+    ``rows`` are ``_sets``, ``candidates`` the pairs ``u, v`` by fingerprints, both written.
     """
-    spark = docs.sparkSession
-    keyed = rows.where("keys is not null").select("sid", "n", F.explode("keys").alias("key"))
+    spark = rows.sparkSession
+    keyed = _neighbours(rows, least)
     met = None
     for i in range(PASSES):
         some = keyed.where(F.pmod("key", F.lit(PASSES)) == i)
@@ -229,12 +247,9 @@ def similar_links(docs: DataFrame, rows: DataFrame, shingle: int, least: float,
     # twice means once each
     plain = spool(met.where("times = 2").select(F.col("lo").alias("u"), F.col("hi").alias("v")).distinct())
     wanted = spool(shared.select("sid").unionAll(plain.select("u")).unionAll(plain.select("v")).unionAll(candidates.select("u")).unionAll(candidates.select("v")).distinct())
-    # one document, and those without a name, stand for each set
-    some = kept_by(rows.select("sid", "doc_id"), wanted, "sid")
-    named = spool(some.groupBy("sid").agg(F.min("doc_id").alias("id")).where("id is not null").select("id").distinct())
-    texts = kept_by(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text"), named, "id").withColumnRenamed("id", "doc_id")
-    texts = texts.unionByName(docs.where("doc_id is null").select(F.col("doc_id").cast("long"), "text"))
-    sets = spool(kept_by(_sets(texts, shingle), wanted, "sid").dropDuplicates(["sid"]).select("sid", "hs"))
+    # one row stands for each set
+    picked = spool(kept_by(rows.select("sid", "row"), wanted, "sid").groupBy("sid").agg(F.min("row").alias("row")).select("row"))
+    sets = spool(kept_by(rows.select("row", "sid", _whole()), picked, "row").select("sid", "hs"))
     bitmaps = spool(_bitmaps(sets))
     release(spark)
     links = spool(_alike(candidates, sets, bitmaps, least))
@@ -267,12 +282,10 @@ def similar_links(docs: DataFrame, rows: DataFrame, shingle: int, least: float,
     return out.unionByName(links)
 
 
-def _candidates(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
-    """Pairs ``u, v`` of different sets: of each SimHash class every document and the first."""
-    found = near_duplicates(docs, shingle).where("doc_id <> component_id").select("doc_id", "component_id").distinct()
-    ids = spool(rows.select("doc_id", "sid").distinct())
-    pairs = found.join(ids.withColumnRenamed("sid", "a"), "doc_id").join(ids.select(F.col("doc_id").alias("component_id"), F.col("sid").alias("b")), "component_id")
-    return spool(pairs.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+def _candidates(rows: DataFrame, shingle: int) -> DataFrame:
+    """Pairs ``u, v`` of different sets: of each SimHash class every set and the first. ``rows`` are ``_sets``, written."""
+    found = near_duplicates(rows.select(F.col("sid").alias("doc_id"), _whole(SHINGLED)), shingle)
+    return spool(found.where("doc_id <> component_id").select(F.col("component_id").alias("u"), F.col("doc_id").alias("v")).distinct())
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, crowd: int = CROWD) -> DataFrame:
@@ -280,8 +293,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, cro
     if not 2 / 3 < least < 1:
         raise ValueError("two neighbouring hashes are shared for certain only where the similarity is over two thirds")
     with scratch(docs.sparkSession):
-        rows = spool(_neighbours(docs, shingle, least))
-        roots = components(similar_links(docs, rows, shingle, least, _candidates(docs, rows, shingle), crowd), python=True)
+        rows = spool(_sets(docs, shingle, least))
+        roots = components(similar_links(rows, least, _candidates(rows, shingle), crowd), python=True)
         sets = rows.groupBy("sid").agg(F.min("doc_id").alias("first"))
         labelled = sets.join(roots, sets.sid == roots.u, "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
         lowest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))

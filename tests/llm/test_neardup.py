@@ -129,3 +129,12 @@ def test_pipeline_stage_goes_through_simhash_classes(spark, tmp_path, monkeypatc
     monkeypatch.setattr(N, "_alike", lambda pairs, *how: tried.append(pairs.count()) or alike_of(pairs, *how))
     assert {r.doc_id for r in C.simhash_near_dedup(spark, table(spark, texts), str(tmp_path)).collect()} == {1, 3}
     assert shingles == [5] and tried[0] == 1
+
+
+def test_texts_are_cut_into_shingles_once(spark, monkeypatch):
+    texts = corpus([*with_changed_words()])
+    sets = {i: shingle_set(t) for i, t in enumerate(texts, 1)}
+    cut, hashes_of = [], N.shingle_hashes
+    monkeypatch.setattr(N, "shingle_hashes", lambda text, size: cut.append(size) or hashes_of(text, size))
+    got = {r.doc_id: r.component_id for r in N.similar_documents(table(spark, texts)).collect()}
+    assert cut == [5] and got == classes(list(sets), lambda a, b: alike(sets[a], sets[b]))
