@@ -70,8 +70,12 @@ def kmers(reads: DataFrame, k: int, seq: str = "seq", *keep: str) -> DataFrame:
         raise ValueError("k must be at least 1")
     if clash := {"at", "kmer"} & set(keep):
         raise ValueError(f"columns that k-mers bring themselves can't be kept: {sorted(clash)}")
-    at = F.explode(F.sequence(F.lit(1), F.length(seq) - (k - 1)))
-    return reads.where(F.length(seq) >= k).select(*keep, seq, at.alias("at")).select(*keep, "at", F.substring(F.col(seq), F.col("at"), F.lit(k)).alias("kmer"))
+    at = F.explode(F.sequence(F.lit(1), F.length(seq) - (k - 1))).alias("at")
+    # places in a string are counted from its start, those of bytes are not
+    single = F.when(F.octet_length(seq) == F.length(seq), F.col(seq).cast("binary"))
+    each = reads.where(F.length(seq) >= k).select(*keep, seq, single.alias("__bytes")).select(*keep, seq, "__bytes", at)
+    cut = F.when(F.col("__bytes").isNotNull(), F.substring("__bytes", F.col("at"), F.lit(k)).cast("string")).otherwise(F.substring(F.col(seq), F.col("at"), F.lit(k)))
+    return each.select(*keep, "at", cut.alias("kmer"))
 
 
 def count_kmers(reads: DataFrame, k: int, *, seq: str = "seq", normalize: bool = False, forward_only: bool = False, pregroup: bool = False, clean: bool = True) -> DataFrame:

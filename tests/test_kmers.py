@@ -313,3 +313,20 @@ def test_reads_of_a_single_file_of_keys_are_dealt_to_tasks(spark, tmp_path):
     assert out.rdd.getNumPartitions() == 10 and len({r.p for r in parts}) > 5
     assert len({(r.key, r.p) for r in parts}) == 300 and len(parts) == 1000
     assert dealt(rows, "key").rdd.getNumPartitions() == 1
+
+
+def test_kmers_of_a_long_sequence_take_time_in_proportion(spark):
+    import time
+
+    seq = "".join(random.Random(9).choice("ACGT") for _ in range(800_000))
+    reads = spark.createDataFrame([(1, seq)], "id int, seq string")
+    start = time.time()
+    rows = count_kmers(reads, 31).count()
+    assert rows == len({seq[i : i + 31] for i in range(len(seq) - 30)}) and time.time() - start < 60
+
+
+def test_kmers_of_other_characters(spark):
+    texts = ["ACGTNÉACGT日本ACGT", "ACGTACG", "ÉÉ", None]
+    reads = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, seq string")
+    got = sorted((r.id, r.at, r.kmer) for r in kmers(reads, 3, "seq", "id").collect())
+    assert got == sorted((i, a + 1, t[a : a + 3]) for i, t in enumerate(texts) if t for a in range(len(t) - 2))
