@@ -56,7 +56,7 @@ class Part(InputPartition):
 class Parts(InputPartition):
     """Neighbouring ranges that one task reads one after another, each by itself."""
 
-    def __init__(self, parts: list[Part]):
+    def __init__(self, parts: list[Part] | list[BaseRanges]):
         self.parts = parts
 
 
@@ -208,8 +208,9 @@ class RangeReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         if self.mode == "fai":
-            return [BaseRanges(uri, s) for uri, _, index in self.files for s in fai_stretches(_text(index), self.split)]
-        each = [Part(uri, i, a, min(a + self.split, size), size) for uri, size, *_ in self.files for i, a in enumerate(range(0, size, self.split))]
+            each = [BaseRanges(uri, s) for uri, _, index in self.files for s in fai_stretches(_text(index), self.split)]
+        else:
+            each = [Part(uri, i, a, min(a + self.split, size), size) for uri, size, *_ in self.files for i, a in enumerate(range(0, size, self.split))]
         # a task costs more than a short range
         n = max(1, min(-(-len(each) // TASKS), MOST // self.split))
         return each if n == 1 else [Parts(each[i : i + n]) for i in range(0, len(each), n)]

@@ -208,3 +208,22 @@ def test_short_ranges_share_tasks(tmp_path, monkeypatch):
     one = RangeReader({"mode": "fastq", "files": json.dumps([[f"file:{path}", size, None]]), "split": str(size)})
     batches = [b for p in one.partitions() for b in one.read(p)]
     assert len(batches) > 300 and [r["title"] for b in batches for r in b.to_pylist()] == got
+
+
+def test_short_indexed_sequences_share_tasks(tmp_path):
+    from strandlake.sources import ranges
+
+    rnd = random.Random(7)
+    records = [(f"c{i}", dna(rnd, 130)) for i in range(3000)]
+    path, index, lines, at = tmp_path / "a.fasta", tmp_path / "a.fasta.fai", b"", []
+    for title, seq in records:
+        lines += f">{title}\n".encode()
+        at.append(f"{title}\t{len(seq)}\t{len(lines)}\t130\t131\n")
+        lines += seq.encode() + b"\n"
+    path.write_bytes(lines)
+    index.write_text("".join(at))
+    reader = RangeReader({"mode": "fai", "files": json.dumps([[f"file:{path}", len(lines), f"file:{index}"]]), "split": "100", "k": "5"})
+    parts = reader.partitions()
+    assert len(parts) <= ranges.TASKS
+    got = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert kmers([r["nucleotides"] for r in got], 5) == kmers([s for _, s in records], 5)
